@@ -3,9 +3,10 @@
 Records are related through what they share: a sample belongs to an instance and to a repository,
 however that is written.  The connected components of this graph are found by random-mate
 contraction: in each round the vertices toss coins, a vertex with tails collapses into a neighbour
-with heads, and edges are rewritten to the survivors until none is left.  Coins are loaded by degree
-so that a hub stays and its leaves collapse into it, all in one round.  The merges are then unwound
-into labels, and whole components are assigned to splits by their cumulative weight.
+with heads, and edges are rewritten to the survivors until none is left.  Vertices with one edge need
+no toss: they collapse into their neighbour at the start of a round, so a hub loses all its leaves at
+once.  The merges are then unwound into labels, and whole components are assigned to splits by their
+cumulative weight.
 
 All of it is joins and aggregations; of the graph only the number of edges left reaches the driver.
 """
@@ -55,35 +56,36 @@ def components(edges: DataFrame, seed: int = 17, max_rounds: int = 200) -> DataF
     left = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     merges: list[DataFrame] = []
     for turn in range(max_rounds):
-        if left.isEmpty():
+        degree = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg((F.count(F.lit(1)) == 1).alias("leaf"))
+        sided = left.join(degree.withColumnRenamed("leaf", "leaf_a"), "a").join(degree.select(F.col("a").alias("b"), F.col("leaf").alias("leaf_b")), "b")
+        sided = cut_lineage(sided.select("a", "b", "leaf_a", "leaf_b"))
+        # a leaf collapses into its only neighbour without a toss; of an edge by itself, the smaller end into the greater
+        ends = F.when(F.col("leaf_a"), F.struct("a", F.col("b").alias("into"))).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("into")))
+        merges.append(sided.filter("leaf_a OR leaf_b").select(ends.alias("e")).select("e.a", "e.into"))
+        rest = sided.filter("NOT leaf_a AND NOT leaf_b").select("a", "b")
+        if rest.isEmpty():
             return _unwound(merges, edges)
-        both = left.select("a", "b").unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-        sided = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("degree").alias("other")), "b")
-        toss = lambda v: F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), v), F.lit(1_000_003)) / F.lit(1_000_003.0)  # noqa: E731, B023
-        own = lambda v, d: toss(v) < d / (d + F.lit(2.0))  # noqa: E731, B023
-        # a leaf always has tails; of an edge by itself, the greater end has heads
-        a_heads = F.when(F.col("degree") == 1, (F.col("other") == 1) & (F.col("a") > F.col("b"))).otherwise(own(F.col("a"), F.col("degree")))
-        b_heads = F.when(F.col("other") == 1, (F.col("degree") == 1) & (F.col("b") > F.col("a"))).otherwise(own(F.col("b"), F.col("other")))
-        merged = cut_lineage(sided.filter(~a_heads & b_heads).groupBy("a").agg(F.max("b").alias("into")))
+        heads = lambda v: F.xxhash64(F.lit(seed), F.lit(turn), v) >= 0  # noqa: E731, B023
+        both = rest.unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        merged = cut_lineage(both.filter(~heads(F.col("a")) & heads(F.col("b"))).groupBy("a").agg(F.max("b").alias("into")))
         merges.append(merged)
-        to_a = merged.select("a", F.col("into").alias("into_a"))
-        to_b = merged.select(F.col("a").alias("b"), F.col("into").alias("into_b"))
-        moved = left.join(to_a, "a", "left").join(to_b, "b", "left").select(
-            F.coalesce("into_a", "a").alias("a"), F.coalesce("into_b", "b").alias("b")).filter("a <> b")
+        moved = rest.join(merged.select("a", F.col("into").alias("into_a")), "a", "left").join(
+            merged.select(F.col("a").alias("b"), F.col("into").alias("into_b")), "b", "left")
+        moved = moved.select(F.coalesce("into_a", "a").alias("a"), F.coalesce("into_b", "b").alias("b")).filter("a <> b")
         left = cut_lineage(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     raise RuntimeError(f"edges are left after {max_rounds} rounds")
 
 
 def _unwound(merges: list[DataFrame], edges: DataFrame) -> DataFrame:
     """Labels of all vertices, from the merges of the last round back to the first."""
-    schema = "vertex string, component string"
-    labels = edges.sparkSession.createDataFrame([], schema)
-    for merged in reversed(merges):
+    if not merges:
+        return edges.sparkSession.createDataFrame([], "vertex string, component string")
+    last = merges[-1].select(F.col("a").alias("vertex"), F.col("into").alias("component"))
+    labels = last
+    for merged in reversed(merges[:-1]):
         later = labels.select(F.col("vertex").alias("into"), "component")
         labels = labels.unionByName(merged.join(later, "into", "left").select(F.col("a").alias("vertex"), F.coalesce("component", "into").alias("component")))
-        if len(merges) > 1:
-            labels = cut_lineage(labels)
+        labels = cut_lineage(labels)
     roots = labels.select(F.col("component").alias("vertex"), "component").distinct()
     return labels.unionByName(roots)
 
