@@ -25,7 +25,7 @@ PRIOR = {"node_mc": 0.9, "leaf_chain": 0.7, "": 0.5}
 TOLERANCE, MAX_ROUNDS, MAX_SOURCES = 1e-3, 12, 1_000
 #: Weight of the prior, in claims.
 PRIOR_CLAIMS = 20.0
-FIELDS = ("repo", "split", "label_source", "node_key", "step_count", "label", "label_binary", "label_soft", "mc_score", "n_rollouts", "visits", "in_pool", "rendered_tokens")
+FIELDS = ("repo", "split", "node_key", "step_count", "label", "label_binary", "label_soft", "mc_score", "n_rollouts", "visits", "in_pool", "rendered_tokens")
 
 
 def squeezed(text: Column) -> Column:
@@ -58,76 +58,77 @@ def _rank(source: Column) -> Column:
 
 
 def _field(df: DataFrame, name: str) -> Column:
-    """A field's value as text; names of splits and sources without case and blanks, repositories trimmed."""
-    if name in ("split", "label_source"):
-        text = F.lower(F.regexp_replace(name, r"(?U)\s+", ""))
-    elif name == "repo":
-        text = F.trim(name)
-    else:
-        text = F.col(name).cast("string")
-    return F.when(text != "", text)
+    """A field's value: splits without case and blanks, other texts trimmed, blank ones and rendered_tokens of 0 null."""
+    if df.schema[name].dataType.simpleString() == "string":
+        text = F.lower(F.regexp_replace(name, r"(?U)\s+", "")) if name == "split" else F.trim(name)
+        return F.when(text != "", text)
+    return F.nullif(F.col(name), F.lit(0)) if name == "rendered_tokens" else F.col(name)
 
 
 def survivors(df: DataFrame, fields: tuple[str, ...] = FIELDS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """One row a group: group_row_id, keep_row_id, n_rows, instance_id, step_index, prefix, and the fields' best values.
+    """One row a group: group_row_id, keep_row_id, n_rows, instance_id, step_index, prefix, label_source and the fields' best values.
 
     keep_row_id is the row with the most trusted label source, then most n_rollouts, then latest built_at
-    (nulls last each), then the smallest row_id.  Null instances or steps are equal to each other; null
-    and empty messages too.  Single rows survive as they are (with split and source cleaned).  Fields
-    missing in ``df`` are left out, other columns are not read.
+    (nulls last each), then the smallest row_id; label_source is that row's.  Null instances or steps are
+    equal to each other; null and empty messages too.  Single rows survive as they are (texts cleaned).
+    Fields missing in ``df`` are left out, other columns are not read.
     """
     fields = tuple(f for f in fields if f in df.columns)
-    order = F.struct(_rank(F.col("_source")).alias("trust"), F.coalesce(F.col("n_rollouts").cast("bigint"), F.lit(-(2**62))).alias("n"),
+    null = F.lit("\u0000")
+    order = F.struct(_rank(source_of("label_source")).alias("trust"), F.coalesce(F.col("n_rollouts").cast("bigint"), F.lit(-(2**62))).alias("n"),
                      F.coalesce(F.unix_micros(F.col("built_at").cast("timestamp")), F.lit(-(2**62))).alias("t"), (-F.col("row_id")).alias("r"))
-    group = ["instance_id", "step_index", "prefix"]
-    rows = df.select("row_id", "instance_id", "step_index", prefix_key("messages").alias("prefix"), "n_rollouts", "built_at",
-                     source_of("label_source").alias("_source"), *[_field(df, f).alias(f"_{f}") for f in fields])
-    rows = cut_lineage(rows.select("row_id", *group, "_source", order.alias("_order"), *[f"_{f}" for f in fields]))
-    base = rows.groupBy(*group).agg(
-        F.min("row_id").alias("group_row_id"), (-F.max("_order")["r"]).alias("keep_row_id"), F.count(F.lit(1)).alias("n_rows"))
-    base = base.withColumn("_group", F.md5(F.concat_ws("|", F.coalesce("instance_id", F.lit("\u0000")), F.coalesce(F.col("step_index").cast("string"), F.lit("\u0000")), "prefix")))
-    claims = rows.select(
-        F.md5(F.concat_ws("|", F.coalesce("instance_id", F.lit("\u0000")), F.coalesce(F.col("step_index").cast("string"), F.lit("\u0000")), "prefix")).alias("_group"),
-        "_source", "_order", F.stack(F.lit(len(fields)), *[x for f in fields for x in (F.lit(f), F.col(f"_{f}"))]).alias("field", "value"))
-    counted = (
-        claims.filter("value IS NOT NULL").groupBy("_group", "field", "value", "_source").agg(F.count(F.lit(1)).alias("n"), F.max("_order").alias("best"))
-    )
+    group = F.concat_ws("|", F.coalesce("instance_id", null), F.coalesce(F.col("step_index").cast("string"), null), prefix_key("messages"))
+    rows = cut_lineage(df.select(
+        "row_id", F.unhex(F.md5(group)).alias("_group"), "instance_id", "step_index", source_of("label_source").alias("_source"), order.alias("_order"),
+        *[_field(df, f).alias(f"_{f}") for f in fields]))
+    ends = [x for f in fields for x in (F.min(f"_{f}").alias(f"_low_{f}"), F.max(f"_{f}").alias(f"_high_{f}"))]
+    base = rows.groupBy("_group").agg(
+        F.min("row_id").alias("group_row_id"), F.max("_order").alias("_best"), F.count(F.lit(1)).alias("n_rows"),
+        F.min("instance_id").alias("instance_id"), F.min("step_index").alias("step_index"), *ends)
+    # only fields of which a group has several values are voted on
+    mask = F.lit(0)
+    for i, f in enumerate(fields):
+        mask = mask + F.when(F.col(f"_low_{f}") != F.col(f"_high_{f}"), 1 << i).otherwise(0)
+    disputed = base.filter("n_rows > 1").select("_group", F.col("group_row_id").alias("_id"), mask.alias("_mask")).filter("_mask > 0")
+    values = F.array(*[F.struct(F.lit(i).alias("field"), F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) > 0, F.col(f"_{f}").cast("string")).alias("value")) for i, f in enumerate(fields)])
+    claims = rows.join(disputed, "_group").select("_id", "_source", "_order", F.explode(F.filter(values, lambda v: v["value"].isNotNull())).alias("c"))
+    counted = claims.groupBy("_id", "c.field", "c.value", "_source").agg(F.count(F.lit(1)).alias("n"), F.max("_order").alias("best"))
     by_value = cut_lineage(
-        counted.groupBy("_group", "field", "value").agg(
+        counted.groupBy("_id", "field", "value").agg(
             F.map_from_entries(F.collect_list(F.struct("_source", "n"))).alias("by"), F.max("best").alias("best"))
     )  # the map has at most as many entries as there are sources
-    reliability = discover(by_value, max_rounds)
-    truth = _winners(by_value, reliability).select("_group", "field", F.col("win.value").alias("value"))
-    wide = truth.groupBy("_group").pivot("field", list(fields)).agg(F.first("value"))
+    truth = _winners(by_value, discover(by_value, max_rounds)).select("_id", "field", F.col("win.value").alias("value"))
+    wide = truth.groupBy("_id").agg(F.lit(True).alias("_voted"), *[F.max(F.when(F.col("field") == i, F.col("value"))).alias(f"_vote_{f}") for i, f in enumerate(fields)])
     kinds = dict(df.dtypes)
-    return base.join(wide, "_group", "left").select(
-        "group_row_id", "keep_row_id", "n_rows", *group, *[F.col(f).cast(kinds[f]).alias(f) for f in fields])
+    joined = base.join(wide.withColumnRenamed("_id", "group_row_id"), "group_row_id", "left")
+    trusted = F.element_at(F.create_map(*[x for name, trust in TRUST.items() for x in (F.lit(trust), F.lit(name))]), F.col("_best.trust"))
+    return joined.select(
+        "group_row_id", (-F.col("_best.r")).alias("keep_row_id"), "n_rows", "instance_id", "step_index", F.lower(F.hex("_group")).alias("prefix"), trusted.alias("label_source"),
+        *[F.coalesce(F.col(f"_vote_{f}").cast(kinds[f]), f"_low_{f}").cast(kinds[f]).alias(f) for f in fields])
 
 
 def _winners(by_value: DataFrame, reliability: dict[str, float]) -> DataFrame:
     """The best supported value of each (group, field), with its claims."""
-    weight = F.create_map(*[F.lit(x) for pair in reliability.items() for x in pair])
+    weight = F.create_map(*[F.lit(x) for pair in reliability.items() for x in pair]) if reliability else F.create_map(F.lit(""), F.lit(0.0))
     support = F.aggregate(F.map_entries("by"), F.lit(0.0), lambda s, e: s + e["value"] * weight[e["key"]])
     win = F.max_by(F.struct("value", "by"), F.struct(F.round(support, 9).alias("support"), "best", "value"))
-    return by_value.groupBy("_group", "field").agg(win.alias("win"), F.count(F.lit(1)).alias("n_values"))
+    return by_value.groupBy("_id", "field").agg(win.alias("win"), F.count(F.lit(1)).alias("n_values"))
 
 
 def discover(by_value: DataFrame, max_rounds: int) -> dict[str, float]:
     """The reliability of each source, by turns with the votes it weighs, until it stays.
 
-    Only fields with more than one value tell sources apart.  Per round one aggregate of a row a source
+    ``by_value`` has the disputed fields, which tell sources apart.  Per round one aggregate of a row a source
     reaches the driver; more than MAX_SOURCES sources raise.
     """
     totals = by_value.select(F.explode("by").alias("source", "n")).groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    prior = {r.source: PRIOR.get(r.source, 0.5) for r in totals}
+    claimed = {r.source: r.n for r in totals}
+    prior = {s: PRIOR.get(s, 0.5) for s in claimed}
     now = dict(prior)
-    disputed = by_value.groupBy("_group", "field").agg(F.count(F.lit(1)).alias("n_values")).filter("n_values > 1").select("_group", "field")
-    disputed = cut_lineage(by_value.join(disputed, ["_group", "field"], "left_semi"))
-    claimed = {r.source: r.n for r in disputed.select(F.explode("by").alias("source", "n")).groupBy("source").agg(F.sum("n").alias("n")).collect()}
     for _ in range(max_rounds if claimed else 0):
-        won = _winners(disputed, now).select(F.explode("win.by").alias("source", "n")).groupBy("source").agg(F.sum("n").alias("n")).collect()
+        won = _winners(by_value, now).select(F.explode("win.by").alias("source", "n")).groupBy("source").agg(F.sum("n").alias("n")).collect()
         wins = {r.source: r.n for r in won}
         new = {s: (wins.get(s, 0) + PRIOR_CLAIMS * prior[s]) / (claimed.get(s, 0) + PRIOR_CLAIMS) for s in now}
         moved, now = max(abs(new[s] - now[s]) for s in now), new
