@@ -8,7 +8,8 @@ Order all words of a text by a fixed global order, rare ones first.  If four fif
 text's n words are common to both, the two first common words stand among the first
 n - ceil(0.8 n) + 2 of either text.  Hashes of these words, or of their pairs where both words are
 frequent, are joined between held-out and training classes; no link can be missed, whatever the
-order is.  An exact check of the common subsequence follows.
+order is.  A parity map of all words goes with each hash and turns away most chance meetings at the
+join.  An exact check of the common subsequence follows.
 """
 
 from __future__ import annotations
@@ -70,56 +71,74 @@ def reports(instances: DataFrame, build_dataset: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame) -> DataFrame:
-    """``df`` (instance_id, report, splits) with class_id, n_words and the hashed words of each report.
+    """``df`` (instance_id, report, splits) with the class and the hashed words, in order, of each report.
 
-    ``tokens`` tells the repeated words of a text apart, ``word_hashes`` keeps their order.  Reports
-    without words have no class and are left out.
+    Reports without words have no class and are left out.
     """
     document_batches(df.sparkSession, 1_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for batch in batches:
-            keep, ids, order, tokens = [], [], [], []
+            keep, ids, hashed = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 found = words(text)
                 if not found:
                     continue
                 if len(memo) > 500_000:
                     memo.clear()
-                hashes, seen, own = [], {}, []
                 for w in found:
-                    h = memo.get(w)
-                    if h is None:
-                        h = memo[w] = _hash(w)
-                    hashes.append(h)
-                    n = seen[h] = seen.get(h, 0) + 1
-                    own.append(h if n == 1 else _hash(f"{h}#{n}"))
+                    if w not in memo:
+                        memo[w] = _hash(w)
                 keep.append(i)
-                ids.append(hashlib.blake2b(" ".join(found).encode("utf-8", "replace"), digest_size=16).hexdigest())
-                order.append(hashes)
-                tokens.append(own)
+                ids.append(hashlib.blake2b(" ".join(found).encode("utf-8", "replace"), digest_size=16).digest())
+                hashed.append([memo[w] for w in found])
             taken = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [taken.column(0), taken.column(2), pa.array(ids, pa.string()), pa.array(order, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))],
-                names=["instance_id", "splits", "class_id", "word_hashes", "tokens"])
+                [taken.column(0), taken.column(2), pa.array(ids, pa.binary()), pa.array(hashed, pa.list_(pa.int64()))],
+                names=["instance_id", "splits", "class_id", "words"])
 
-    return df.select("instance_id", "report", "splits").mapInArrow(
-        run, "instance_id string, splits int, class_id string, word_hashes array<bigint>, tokens array<bigint>")
+    return df.select("instance_id", "report", "splits").mapInArrow(run, "instance_id string, splits int, class_id binary, words array<bigint>")
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """(signature, class_id, n, splits) of every class of ``texts`` (class_id, splits, tokens)."""
-    spark = texts.sparkSession
-    counts = texts.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_WORDS).toPandas()
-    frequent = spark.sparkContext.broadcast(dict(zip(top["token"].tolist(), top["n"].tolist(), strict=True)))  # at most FREQUENT_WORDS numbers
+def _tokens(found: list[int]) -> list[int]:
+    """A text's words with repeated ones told apart by their number."""
+    seen: dict[int, int] = {}
+    out = []
+    for h in found:
+        n = seen[h] = seen.get(h, 0) + 1
+        out.append(h if n == 1 else hash((h, n)))
+    return out
+
+
+def frequent_tokens(texts: DataFrame) -> dict[int, int]:
+    """Tokens in more than FREQUENT texts with their number of texts, the FREQUENT_WORDS most frequent at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([t for w in batch.column(0).to_pylist() for t in _tokens(w)], pa.int64())], names=["token"])
+
+    counts = texts.select("words").mapInArrow(run, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT)
+    return {r.token: r.n for r in counts.orderBy(F.desc("n"), "token").limit(FREQUENT_WORDS).collect()}
+
+
+#: Bits of the parity map that goes with a signature: bit b is the parity of the number of tokens that fall on b, so
+#: two maps differ in at most as many bits as the texts have words that aren't common to both.
+_BITS = 256
+_MAPS = [f"m{i}" for i in range(_BITS // 64)]
+
+
+def signatures(texts: DataFrame, frequent: dict[int, int], side: str) -> DataFrame:
+    """(signature, <side>_class, <side>_n, <side>_m0...) of every class of ``texts`` (class_id, words)."""
+    sent = texts.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_WORDS numbers
+    names = ["signature", f"{side}_class", f"{side}_n", *[f"{side}_{m}" for m in _MAPS]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value
+        known = sent.value
         for batch in batches:
-            take, sizes, out = [], [], []
-            for i, tokens in enumerate(batch.column(2).to_pylist()):
+            take, sizes, out, maps = [], [], [], [[] for _ in _MAPS]
+            for i, found in enumerate(batch.column(1).to_pylist()):
+                tokens = _tokens(found)
                 n = len(tokens)
                 first = sorted((known.get(t, 0), t) for t in tokens)[: n - needed(n) + 2]
                 own = [t for f, t in first if not f]
@@ -127,35 +146,45 @@ def signatures(texts: DataFrame) -> DataFrame:
                 if n < 3:  # too short for two common words
                     own, often = [t for _, t in first], []
                 own += [hash((a, b)) for k, a in enumerate(often) for b in often[k + 1 :]]
+                parity = 0
+                for t in tokens:
+                    parity ^= 1 << (t % _BITS)
                 out += own
                 take += [i] * len(own)
                 sizes += [n] * len(own)
-            taken = batch.select([0, 1]).take(pa.array(take, pa.int64()))
+                for k, column in enumerate(maps):
+                    part = (parity >> (64 * k)) & (2**64 - 1)
+                    column += [part - 2**64 if part >= 2**63 else part] * len(own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out, pa.int64()), taken.column(0), pa.array(sizes, pa.int32()), taken.column(1)], names=["signature", "class_id", "n", "splits"])
+                [pa.array(out, pa.int64()), batch.column(0).take(pa.array(take, pa.int64())), pa.array(sizes, pa.int32()), *[pa.array(m, pa.int64()) for m in maps]], names=names)
 
-    return texts.select("class_id", "splits", "tokens").mapInArrow(run, "signature bigint, class_id string, n int, splits int")
+    kinds = ", ".join(f"{side}_{m} bigint" for m in _MAPS)
+    return texts.select("class_id", "words").mapInArrow(run, f"signature bigint, {side}_class binary, {side}_n int, {kinds}")
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
-    """(train_class, eval_class) of different classes that agree in four fifths of the longer one's words, in order."""
-    signed = cut_lineage(signatures(texts))
-    train = signed.filter(F.col("splits").bitwiseAND(1) > 0).select("signature", F.col("class_id").alias("train_class"), F.col("n").alias("n_train"))
-    held = signed.filter(F.col("splits").bitwiseAND(6) > 0).select("signature", F.col("class_id").alias("eval_class"), F.col("n").alias("n_eval"))
-    longer, shorter = F.greatest("n_train", "n_eval"), F.least("n_train", "n_eval")
-    pairs = train.join(held, "signature").filter((F.col("train_class") != F.col("eval_class")) & (shorter * FIVE >= longer * FOUR))
+    """(train_class, eval_class) of different classes of ``texts`` (class_id, splits, words) that agree in four
+    fifths of the longer one's words, in order."""
+    frequent = frequent_tokens(texts)
+    train = signatures(texts.filter(F.col("splits").bitwiseAND(1) > 0), frequent, "train")
+    held = signatures(texts.filter(F.col("splits").bitwiseAND(6) > 0), frequent, "eval")
+    longer, shorter = F.greatest("train_n", "eval_n"), F.least("train_n", "eval_n")
+    differ = F.lit(0)
+    for m in _MAPS:
+        differ = differ + F.bit_count(F.col(f"train_{m}").bitwiseXOR(F.col(f"eval_{m}")))
+    least = F.ceil(longer * F.lit(FOUR) / F.lit(FIVE))
+    pairs = train.join(held, "signature").filter(
+        (F.col("train_class") != F.col("eval_class")) & (shorter * FIVE >= longer * FOUR) & (differ <= longer + shorter - 2 * least))
     pairs = pairs.select("train_class", "eval_class").distinct()
-    of = lambda side: texts.select(F.col("class_id").alias(f"{side}_class"), F.col("tokens").alias(f"{side}_tokens"), F.col("word_hashes").alias(f"{side}_words"))
+    of = lambda side: texts.select(F.col("class_id").alias(f"{side}_class"), F.col("words").alias(f"{side}_words"))
     both = pairs.join(of("train"), "train_class").join(of("eval"), "eval_class")
-    shared = F.size(F.array_intersect("train_tokens", "eval_tokens"))
-    both = both.filter(shared * FIVE >= F.greatest(F.size("train_tokens"), F.size("eval_tokens")) * FOUR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [FIVE * lcs_length(a, b) >= FOUR * max(len(a), len(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("train_class", "eval_class", "train_words", "eval_words").mapInArrow(run, "train_class string, eval_class string")
+    return both.select("train_class", "eval_class", "train_words", "eval_words").mapInArrow(run, "train_class binary, eval_class binary")
 
 
 def overlaps(instances: DataFrame, build_dataset: DataFrame) -> DataFrame:
@@ -164,7 +193,7 @@ def overlaps(instances: DataFrame, build_dataset: DataFrame) -> DataFrame:
     An instance that has rows on both sides is on both, but is no pair with itself.
     """
     members = cut_lineage(classes(reports(instances, build_dataset)))
-    texts = members.groupBy("class_id").agg(F.bit_or("splits").alias("splits"), F.first("tokens").alias("tokens"), F.first("word_hashes").alias("word_hashes"))
+    texts = members.groupBy("class_id").agg(F.bit_or("splits").alias("splits"), F.first("words").alias("words"))
     near = near_classes(cut_lineage(texts)).withColumn("exact", F.lit(False))
     same = members.groupBy("class_id").agg(F.bit_or("splits").alias("splits")).filter("splits > 1 AND (splits & 1) = 1")
     links = near.unionByName(same.select(F.col("class_id").alias("train_class"), F.col("class_id").alias("eval_class"), F.lit(True).alias("exact")))
