@@ -44,7 +44,7 @@ def _round_trip(b):
 
 
 def _prompt(b):
-    p = S.prompt("Judge the last step.", F.element_at(F.filter("messages", lambda m: m["role"] == "user"), 1)["content"], S.canonical("messages"), "Was it right?")
+    p = S.prompt("Judge the last step.", F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"], S.canonical("messages"), "Was it right?")
     return b.select("row_id", F.size(p).cast("bigint").alias("n"), F.md5(F.array_join(F.transform(p, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")).alias("digest"))
 
 
