@@ -63,9 +63,8 @@ def reports(instances: DataFrame, build_dataset: DataFrame) -> DataFrame:
     stated = instances.filter(~missing("problem_statement")).groupBy("instance_id").agg(F.max("problem_statement").alias("statement"))
     placed = cut_lineage(placed.join(stated, "instance_id", "left"))
     without = placed.filter("statement IS NULL").select("instance_id")
-    first_user = F.element_at(F.filter("messages", lambda m: m["role"] == "user"), 1)["content"]
-    tagged = build_dataset.filter(F.size("messages") > 0).withColumn("_n", F.size(F.filter("messages", lambda m: m["role"] == "user"))).filter("_n > 0")
-    tagged = tagged.join(without, "instance_id", "left_semi").select("instance_id", "row_id", F.regexp_extract(first_user, _TAGGED, 1).alias("tagged"))
+    first_user = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"]
+    tagged = build_dataset.join(without, "instance_id", "left_semi").select("instance_id", "row_id", F.regexp_extract(first_user, _TAGGED, 1).alias("tagged"))
     tagged = tagged.filter("tagged <> ''").groupBy("instance_id").agg(F.min_by("tagged", "row_id").alias("tagged"))
     return placed.join(tagged, "instance_id", "left").select("instance_id", F.coalesce("statement", "tagged").alias("report"), "splits")
 
