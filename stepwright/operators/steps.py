@@ -31,7 +31,7 @@ def split_steps(messages: str | Column) -> Column:
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(kept), F.lit(1))), lambda i: F.element_at(kept, i.cast("int"))["role"] == "assistant")
     starts = F.when(F.size(kept) > 0, starts).otherwise(F.array().cast("array<int>"))
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(kept) + 1))
-    return F.zip_with(starts, F.slice(ends, 1, F.greatest(F.size(starts), F.lit(1))), lambda a, b: F.struct(
+    return F.zip_with(starts, F.slice(ends, 1, F.size(starts)), lambda a, b: F.struct(
         F.element_at(kept, a).alias("assistant"), F.slice(kept, a + 1, b - a - 1).alias("tail")))
 
 

@@ -73,16 +73,16 @@ ORACLES = {
     "calibration_bins": f"""WITH {_D}, b AS (SELECT {_BIN} AS bin, count(*) AS n, avg(s) AS s, avg(y) AS y FROM d GROUP BY 1)
         SELECT r.bin::INT AS bin, coalesce(n, 0) AS n, round(s, 6) AS mean_score, round(y, 6) AS pos_rate FROM range(10) r(bin) LEFT JOIN b ON b.bin = r.bin""",
     "ece": f"WITH {_D}, b AS (SELECT {_BIN} AS bin, count(*) AS n, avg(s) AS s, avg(y) AS y FROM d GROUP BY 1) SELECT round(sum(n * abs(s - y)) / sum(n), 6) AS ece FROM b",
-    "pearson": f"WITH {_D} SELECT round(corr(mc_score::DOUBLE, s), 6) AS pearson FROM d",
+    "pearson": f"WITH {_D} SELECT round(CASE WHEN NOT isnan(corr(mc_score::DOUBLE, s)) THEN corr(mc_score::DOUBLE, s) END, 6) AS pearson FROM d",
     "spearman": f"""WITH {_D}, r AS (SELECT rank() OVER (ORDER BY mc_score) + (count(*) OVER (PARTITION BY mc_score) - 1) / 2 AS rx, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS ry
-        FROM d WHERE mc_score IS NOT NULL) SELECT round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM r""",
+        FROM d WHERE mc_score IS NOT NULL) SELECT round(CASE WHEN NOT isnan(corr(rx, ry)) THEN corr(rx, ry) END, 6) AS spearman, count(*) AS n FROM r""",
     "soft_bce": f"""WITH {_D} SELECT round(-avg(label::DOUBLE * -ln(1 + exp(-(s * 4 - 2))) + 2.0 * (1 - label::DOUBLE) * -ln(1 + exp(s * 4 - 2))), 6) AS loss FROM d WHERE label IS NOT NULL""",
     "dev_metrics": f"WITH {_D}, e AS (SELECT *, round(1 / (1 + exp(-(s * 4 - 2))), 9) AS p FROM d WHERE split = 'dev') {_auc('', 'e', 'p')}",
     "position_buckets": _bucket("CASE WHEN step_index IS NULL THEN 'nan' WHEN step_index <= 5 THEN step_index::VARCHAR WHEN step_index <= 10 THEN '6-10' WHEN step_index <= 15 THEN '11-15' WHEN step_index <= 20 THEN '16-20' ELSE '21+' END"),
     "relative_buckets": _bucket("CASE WHEN step_count IS NULL OR step_count <= 0 THEN 'nan' ELSE '[' || least(9, (10 * (step_index - 1)) // greatest(1, step_count)) * 10 || '%,' || (least(9, (10 * (step_index - 1)) // greatest(1, step_count)) * 10 + 10) || '%]' END"),
     "length_buckets": _bucket("CASE WHEN rendered_tokens IS NULL THEN 'nan' WHEN rendered_tokens <= 4096 THEN '<=4K' WHEN rendered_tokens <= 8192 THEN '4-8K' WHEN rendered_tokens <= 12288 THEN '8-12K' WHEN rendered_tokens <= 16384 THEN '12-16K' ELSE '>16K' END"),
     "split_summary": f"""WITH {_D}, a AS ({_auc('split')}), p AS (SELECT split, count(*) AS n, {_BRIER} AS brier, round(avg(((s >= 0.5) = (y = 1))::INT), 6) AS accuracy, {_LOSS} AS log_loss,
-        round(corr(mc_score::DOUBLE, s), 6) AS mc_corr FROM d GROUP BY 1) SELECT p.*, a.auc FROM p LEFT JOIN a ON a.split = p.split""",
+        round(CASE WHEN NOT isnan(corr(mc_score::DOUBLE, s)) THEN corr(mc_score::DOUBLE, s) END, 6) AS mc_corr FROM d GROUP BY 1) SELECT p.*, a.auc FROM p LEFT JOIN a ON a.split = p.split""",
     "bootstrap_ci": f"""WITH {_D}, r AS (SELECT b, s, ('0x' || left(md5('42:' || b || ':' || row_id), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d, range(1, 51) t(b)),
         w AS (SELECT b, s, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119))} AS w FROM r),
         m AS (SELECT b, sum(w * s) / sum(w) AS mean FROM w GROUP BY 1) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS n_boot FROM m""",

@@ -38,7 +38,9 @@ class SqliteReader(DataSourceReader):
         width = max(1, -(-(high - low + 1) // self.pieces))
         return [RowIds(at, min(at + width - 1, high)) for at in range(low, high + 1, width)]
 
-    def read(self, partition: RowIds) -> Iterator[tuple]:
+    def read(self, partition: RowIds | None) -> Iterator[tuple]:
+        if partition is None:  # an empty table has no ranges
+            return
         columns = ", ".join(f'"{n}"' for n in self.names)
         c = open_read_only(self.path)
         try:
