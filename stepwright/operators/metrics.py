@@ -1,7 +1,7 @@
 """Ranking, calibration and correlation metrics of scored samples.
 
-Ranks and curves are computed over a histogram of the distinct scores (score, positives, negatives), so
-the single ordered pass that they need sees one row a distinct score, not one a sample.  Undefined values
+Ranks and curves are computed over a histogram of the distinct scores (score, positives, negatives), in
+ordered buckets of it, so no task sees all samples nor all scores.  Undefined values
 (one class only, no samples, no variance) are null.
 """
 
@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stepwright.operators.ordered import sums_before, value_bucket
+from stepwright.session import cut_lineage
+
 # The inner edges of ten equal bins as sums of doubles come out.
 EDGES = (0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9)
 EPS = 1e-7
@@ -35,17 +38,16 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
     """Area under the ROC curve, ties counted half, one row per ``by``."""
     by = by or []
     hist = score_histogram(df, label, score, by)
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    pairs = hist.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0))).withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
-    sums = pairs.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    placed = sums_before(hist, value_bucket(hist, score), [score], {"below": "neg"}, by)
+    sums = placed.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return sums.select(*by, (F.col("pos") + F.col("neg")).alias("n"), rounded(_ratio(F.col("won"), F.col("pos") * F.col("neg")), "auc"))
 
 
 def average_ranks(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, avg_rank): ranks from 1, ties share their mean; the ordered pass is over distinct values."""
     hist = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(value))
-    ranks = hist.select(value, (upto - (F.col("n") - 1) / 2.0).alias("avg_rank"))
+    placed = sums_before(hist, value_bucket(hist, value), [value], {"before": "n"})
+    ranks = placed.select(value, (F.col("before") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
     return df.filter(F.col(value).isNotNull()).select(key, value).join(ranks, value).select(key, value, "avg_rank")
 
 
@@ -57,8 +59,6 @@ def pr_auc(df: DataFrame, label: str, score: str, tie: str) -> DataFrame:
     """
     part = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).select(label, score, tie)
     part = part.repartitionByRange(F.col(score).desc(), F.col(tie).asc()).withColumn("_p", F.spark_partition_id())
-    from stepwright.session import cut_lineage
-
     part = cut_lineage(part)  # both passes must see the same partitions
     sums = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label) == 1).alias("_k"))
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stepwright.operators.ordered import hex_bucket, sums_before
+
 
 def make_splits(instances: DataFrame, seed: int = 42, pool: float = 0.6, dev: float = 0.1, test: float = 0.1) -> DataFrame:
     """(instance_id, repo, gen_pool, prm_split) of every row; all rows of a repository agree.
@@ -18,9 +20,8 @@ def make_splits(instances: DataFrame, seed: int = 42, pool: float = 0.6, dev: fl
         if not 0 <= share <= 1:
             raise ValueError("shares must be within 0 and 1")
     repos = instances.select("repo").filter("repo IS NOT NULL").distinct()
-    key = F.sha1(F.concat(F.lit(f"{seed}:"), "repo"))
-    everything = Window.partitionBy(F.lit(0))
-    placed = repos.select("repo", (F.row_number().over(everything.orderBy(key, "repo")) - 1).alias("at"), F.count(F.lit(1)).over(everything).alias("n_repos"))
+    keyed = repos.withColumn("_k", F.sha1(F.concat(F.lit(f"{seed}:"), "repo")))
+    placed = sums_before(keyed, hex_bucket(F.col("_k")), ["_k", "repo"], {"at": F.lit(1)}).withColumnRenamed("at_total", "n_repos")
     n = F.bround(F.col("n_repos") * F.lit(pool), 0)
     sized = placed.withColumn("n", n).withColumn("d", F.bround(F.col("n") * F.lit(dev), 0)).withColumn("t", F.bround(F.col("n") * F.lit(test), 0))
     sized = sized.withColumn("d", F.when(F.col("n") >= 3, F.greatest("d", F.lit(1.0))).otherwise(F.col("d"))).withColumn("t", F.when(F.col("n") >= 3, F.greatest("t", F.lit(1.0))).otherwise(F.col("t")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stepwright.operators.ordered import hex_bucket, sums_before
 from stepwright.session import cut_lineage
 
 ALPHA, BETA, MAX_LENGTH, EXPLORATION = 0.5, 0.9, 6, 0.125
@@ -59,17 +60,16 @@ def slot_array(nodes: DataFrame, rollouts: DataFrame, n: int, value: str) -> Dat
 def allocate(requests: DataFrame, order: list[str], budget: int | None = None, per_instance: int | None = None) -> DataFrame:
     """How many of the n rollouts that each request asks for may be run: ``budget`` in all and ``per_instance``, in ``order``.
 
-    The running sums within an instance are a window; the one over all is over instances' totals, of
-    which there is one row each, in the order of the instances.
+    Instances come in the order of the md5 of their ids; the running sum over their totals is taken in buckets
+    of that order, so no task sees all instances.
     """
     own = Window.partitionBy("instance_id").orderBy(*order)
     before = F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     capped = requests.withColumn("_n", F.greatest(F.lit(0), F.least("n", F.lit(per_instance) - before)) if per_instance else F.col("n"))
     if budget is None:
         return capped.withColumn("allowed", F.col("_n").cast("bigint")).drop("_n")
-    totals = capped.groupBy("instance_id").agg(F.sum("_n").alias("_t"))
-    every = Window.partitionBy(F.lit(0)).orderBy("instance_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("instance_id", F.coalesce(F.sum("_t").over(every), F.lit(0)).alias("_start"))
+    totals = capped.groupBy("instance_id").agg(F.sum("_n").alias("_t")).withColumn("_k", F.md5("instance_id"))
+    starts = sums_before(totals, hex_bucket(F.col("_k")), ["_k", "instance_id"], {"_start": "_t"}).select("instance_id", "_start")
     used = F.coalesce(F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = capped.withColumn("_used", used).join(starts, "instance_id")
     return out.withColumn("allowed", F.greatest(F.lit(0), F.least("_n", F.lit(budget) - F.col("_start") - F.col("_used"))).cast("bigint")).drop("_n", "_used", "_start")

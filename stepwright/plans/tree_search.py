@@ -125,7 +125,7 @@ ORACLES = {
         FROM k CROSS JOIN range(5) t(s) LEFT JOIN r ON r.instance_id = k.instance_id AND r.node_key = k.node_key AND r.rollout_idx = s GROUP BY ALL""",
     "budget_alloc": f"""WITH {_MISSING}, a AS (SELECT instance_id, node_key, count(*) AS n FROM m GROUP BY ALL),
         b AS (SELECT *, greatest(0, least(n, 4 - coalesce(sum(n) OVER (PARTITION BY instance_id ORDER BY node_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS c FROM a)
-        SELECT instance_id, node_key, n, greatest(0, least(c, 300 - coalesce(sum(c) OVER (ORDER BY instance_id, node_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS allowed FROM b""",
+        SELECT instance_id, node_key, n, greatest(0, least(c, 300 - coalesce(sum(c) OVER (ORDER BY md5(instance_id), instance_id, node_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS allowed FROM b""",
     "task_order": """SELECT task_id, priority, seq FROM (SELECT instance_id || '/' || node_key || '/' || rollout_idx AS task_id, (node_key <> 'root')::INT AS priority, created_at AS seq,
         row_number() OVER (PARTITION BY instance_id, node_key, rollout_idx ORDER BY created_at NULLS FIRST) AS rn FROM rollouts) WHERE rn = 1""",
     "bisect_trace": f"""WITH RECURSIVE {_B}, s AS (SELECT instance_id AS session, max(n_steps)::INT AS length FROM r WHERE node_key = 'root' AND n_steps >= 2 GROUP BY 1),

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,7 +39,13 @@ def test_slots_budget_and_tasks(spark):
     assert arrays[("t", "a")] == [1, None, 1] and not any(arrays[("t", "b")] or [])
     asked = missing.groupBy("instance_id", "node_key").agg(F.count(F.lit(1)).alias("n"))
     allowed = {(r.instance_id, r.node_key): r.allowed for r in G.allocate(asked, ["node_key"], budget=5, per_instance=3).collect()}
-    assert allowed == {("t", "a"): 1, ("t", "b"): 2, ("u", "a"): 2}
+    left, want = 5, {}
+    for i in sorted("tu", key=lambda x: hashlib.md5(x.encode()).hexdigest()):
+        own = 3
+        for node, n in ((k[1], n) for k, n in {("t", "a"): 1, ("t", "b"): 3, ("u", "a"): 3}.items() if k[0] == i):
+            want[i, node] = min(n, own, left)
+            own, left = own - min(n, own), left - want[i, node]
+    assert allowed == want and sum(want.values()) == 5
     tasks = spark.createDataFrame([("x", 1, 5), ("y", 0, 9), ("x", 1, 2)], "task_id string, priority int, seq int")
     assert [tuple(r) for r in G.task_order(tasks).collect()] == [("y", 0, 9), ("x", 1, 2)]
 
