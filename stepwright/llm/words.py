@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-_TAGS = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.*?-->|&(?:[a-zA-Z]{2,8}|#\d{1,6});", re.S)
+_TAGS = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.{0,2000}?-->|&(?:[a-zA-Z]{2,8}|#\d{1,6});", re.S)
 _LINKS = re.compile(r"\]\(")
 _SPACE = re.compile(r"\s+")
 _OTHER = re.compile(r"[\W_]+")
