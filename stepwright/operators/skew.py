@@ -9,6 +9,8 @@ at most (keys + partitions) rows, are then stitched by key.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,5 +68,6 @@ def rollout_stats(rollouts: DataFrame) -> DataFrame:
 
 
 def heavy_keys(stats: DataFrame, total: int, share: float = 0.04) -> DataFrame:
-    """Keys (never the null key) that hold at least ``share`` of ``total`` rows."""
-    return stats.filter(F.col("key_value").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.lit(total)))
+    """Keys (never the null key) that hold at least ``share`` of ``total`` rows, compared in whole numbers."""
+    exact = Fraction(str(share))
+    return stats.filter(F.col("key_value").isNotNull() & (F.col("n_rows") * F.lit(exact.denominator) >= F.lit(exact.numerator * total)))

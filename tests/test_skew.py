@@ -47,3 +47,9 @@ def test_heavy_keys_leave_out_null_and_empty_tables_work(spark):
     assert skew.heavy_keys(skew.repo_stats(df.limit(0)), 0).count() == 0
     rollouts = spark.createDataFrame([], "instance_id string, correct int, arrived_at timestamp_ntz, created_at double, node_key string, rollout_idx int")
     assert skew.rollout_stats(rollouts).count() == 0
+
+
+def test_a_share_that_is_met_exactly(spark):
+    rows = [("x", True, DAY, f"i{i}", "s", 1) for i in range(7)] + [(f"r{i}", True, DAY, f"j{i}", "s", 1) for i in range(168)]
+    stats = skew.repo_stats(instances(spark, rows))
+    assert [r.key_value for r in skew.heavy_keys(stats, 175).collect()] == ["x"]
