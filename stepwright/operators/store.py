@@ -5,6 +5,8 @@ Plain files have no update in place; a change is written beside the old version
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,15 @@ def replace_version(df: DataFrame, path: str, version: int) -> str:
 def is_legacy(columns: dict[str, set[str]]) -> bool:
     """Whether the tables of a store have an older layout: annotations kept apart, or rollouts without a ledger."""
     return "annotations" in columns or ("rollouts" in columns and "is_consumed" not in columns["rollouts"])
+
+
+def keep_aside(path: str) -> str | None:
+    """Moves a local store out of the way, to the first free name; None if there is none."""
+    old = Path(path)
+    if not old.exists():
+        return None
+    number = 1
+    while (aside := old.with_name(f"{old.name}.bak{number}")).exists():
+        number += 1
+    old.rename(aside)
+    return str(aside)
