@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stepwright.operators.steps import let
+
 #: Credit of a match down to the file, the class, the function.
 DEPTH_WEIGHTS = (0.2, 0.5, 1.0)
 THRESHOLD = 0.6
@@ -91,12 +93,16 @@ def gold_triples(gold: Column) -> Column:
         method = (cls != "") & (func != "")
         return triple(path(e), F.when(method, cls), F.when(method, func).otherwise(name(e)))
 
-    ents = F.transform(F.array_sort(gold["entities"]), entity)
-    covered = lambda m: F.exists(ents, lambda x: (x["file"] == path(m)) & (x["class_name"].eqNullSafe(name(m)) | x["function_name"].eqNullSafe(name(m))))
-    mods = F.transform(F.filter(F.array_sort(gold["modules"]), lambda m: ~covered(m)), lambda m: triple(path(m), name(m), F.lit(None)))
-    both = F.concat(ents, mods)
-    rest = F.filter(F.array_sort(gold["files"]), lambda f: ~F.exists(both, lambda x: x["file"] == f))
-    return F.concat(both, F.transform(rest, lambda f: triple(f, F.lit(None), F.lit(None))))
+    def with_modules(ents: Column) -> Column:
+        covered = lambda m: F.exists(ents, lambda x: (x["file"] == path(m)) & (x["class_name"].eqNullSafe(name(m)) | x["function_name"].eqNullSafe(name(m))))
+        rest = F.filter(F.array_sort(gold["modules"]), lambda m: ~covered(m))
+        return F.concat(ents, F.transform(rest, lambda m: triple(path(m), name(m), F.lit(None))))
+
+    def with_files(both: Column) -> Column:
+        rest = F.filter(F.array_sort(gold["files"]), lambda f: ~F.exists(both, lambda x: x["file"] == f))
+        return F.concat(both, F.transform(rest, lambda f: triple(f, F.lit(None), F.lit(None))))
+
+    return let(let(F.transform(F.array_sort(gold["entities"]), entity), with_modules), with_files)
 
 
 def match_depth(p: Column, g: Column) -> Column:

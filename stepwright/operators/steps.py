@@ -6,6 +6,8 @@ trajectory, so nothing is shuffled; only tables of one row a message or step use
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,11 @@ CHARS_PER_TOKEN = 3.5
 UNIT, RECORD = "\u001f", "\u001e"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def before_exit(messages: str | Column) -> Column:
     """The messages before the first one of role exit."""
     messages = F.col(messages) if isinstance(messages, str) else messages
@@ -27,12 +34,17 @@ def split_steps(messages: str | Column) -> Column:
 
     What stands before the first assistant message, system messages and all from the first exit on are left out.
     """
-    kept = F.filter(before_exit(messages), lambda m: m["role"].isin("assistant", "tool", "user"))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(kept), F.lit(1))), lambda i: F.element_at(kept, i.cast("int"))["role"] == "assistant")
-    starts = F.when(F.size(kept) > 0, starts).otherwise(F.array().cast("array<int>"))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(kept) + 1))
-    return F.zip_with(starts, F.slice(ends, 1, F.size(starts)), lambda a, b: F.struct(
-        F.element_at(kept, a).alias("assistant"), F.slice(kept, a + 1, b - a - 1).alias("tail")))
+    def cut(kept: Column) -> Column:
+        places = F.transform(kept, lambda m, i: F.when(m["role"] == "assistant", i + 1))
+        starts = F.coalesce(F.filter(places, lambda i: i.isNotNull()), F.array().cast("array<int>"))
+
+        def step(starts: Column) -> Column:
+            ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(kept) + 1))
+            return F.zip_with(starts, F.slice(ends, 1, F.size(starts)), lambda a, b: F.struct(F.element_at(kept, a).alias("assistant"), F.slice(kept, a + 1, b - a - 1).alias("tail")))
+
+        return let(starts, step)
+
+    return let(F.filter(before_exit(messages), lambda m: m["role"].isin("assistant", "tool", "user")), cut)
 
 
 def step_rows(df: DataFrame, key: str, messages: str = "messages") -> DataFrame:
@@ -74,8 +86,8 @@ def step_text(step: Column) -> Column:
 
 def prefix_keys(steps: Column) -> Column:
     """The content key of every prefix of the steps, the empty one first: root, then n_ and 16 hex digits."""
-    texts = F.transform(steps, step_text)
-    return F.concat(F.array(F.lit("root")), F.transform(texts, lambda _, i: F.concat(F.lit("n_"), F.substring(F.sha1(F.array_join(F.slice(texts, 1, i + 1), "")), 1, 16))))
+    hashed = lambda texts: F.transform(texts, lambda _, i: F.concat(F.lit("n_"), F.substring(F.sha1(F.array_join(F.slice(texts, 1, i + 1), "")), 1, 16)))
+    return F.concat(F.array(F.lit("root")), let(F.transform(steps, step_text), hashed))
 
 
 def flattened(steps: Column) -> Column:

@@ -13,9 +13,9 @@ KEYS = ["instance_id", "node_key", "rollout_idx", "is_consumed"]
 
 def submissions(rollouts):
     """Readable results with their submission; a result may be wrapped once."""
-    whole = F.try_parse_json("result_json").isNotNull()
-    told = F.coalesce(F.get_json_object("result_json", "$.submission"), F.get_json_object("result_json", "$.result.submission"))
-    return rollouts.filter(whole).select(*KEYS, "exit_status", told.alias("submission"))
+    told = lambda path: F.try_variant_get("v", path, "string")
+    parsed = rollouts.select(*KEYS, "exit_status", F.try_parse_json("result_json").alias("v")).filter("v IS NOT NULL")
+    return parsed.select(*KEYS, "exit_status", F.coalesce(told("$.submission"), told("$.result.submission")).alias("submission"))
 
 
 def with_gold(rollouts, instances):
