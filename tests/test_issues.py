@@ -38,9 +38,9 @@ def test_gold_of_nested_changes(spark):
 
 
 def test_repositories_and_ranks(spark):
-    rows = [("swe/theskumar__x.2b8635b7",), ("django/django",), (" a/b.git ",), ("nothing",), ("a/b/c.DEADBEEF",)]
+    rows = [("mirror/own__x.2b8635b7",), ("plain/name",), (" a/b.git ",), ("nothing",), ("a/b/c.DEADBEEF",)]
     got = [tuple(r) for r in spark.createDataFrame(rows, "repo string").select(*R.parse_repo("repo")).collect()]
-    assert got == [("swe", "theskumar__x", "2b8635b7"), ("django", "django", None), ("a", "b", None), ("", "nothing", None), ("a", "b/c", "DEADBEEF")]
+    assert got == [("mirror", "own__x", "2b8635b7"), ("plain", "name", None), ("a", "b", None), ("", "nothing", None), ("a", "b/c", "DEADBEEF")]
     values = spark.createDataFrame([(v,) for v in [5, 1, 9, 7]], "v bigint")
     assert tuple(R.nearest_rank(values, "v", {"p50": 0.5, "p95": 0.95}).first()) == (1, 7, 9, 9)
 
