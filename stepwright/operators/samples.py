@@ -37,14 +37,14 @@ def node_samples(nodes: DataFrame, rollouts: DataFrame, splits: DataFrame, trees
     placed = splits.filter("prm_split IS NOT NULL").select("instance_id", "repo", "prm_split").dropDuplicates(["instance_id"])
     slim = nodes.withColumn("n_steps", n_steps()).select("instance_id", "node_key", "mc_score", "visits", "in_pool", "n_steps", "created_at")
     latest = slim.groupBy("instance_id", "node_key").agg(F.max_by(F.struct("mc_score", "visits", "in_pool", "n_steps"), F.struct("created_at", "visits", "in_pool", "mc_score", "n_steps")).alias("r")).select("instance_id", "node_key", "r.*")
-    judged = M.eligibility(latest.drop("n_steps").join(latest.select("instance_id", "node_key", F.col("n_steps").alias("steps")), M.KEYS), M.mc_table(rollouts), F.col("steps"), min_rollouts)
+    judged = M.eligibility(latest, M.mc_table(rollouts), F.col("n_steps"), min_rollouts).withColumnRenamed("n_steps", "steps")
     good = judged.filter("skip_reason IS NULL").join(live, "instance_id", "left_semi").join(placed, "instance_id")
     leaf = M.is_leaf("mc")
-    chain = good.filter(leaf).withColumn("step_index", F.explode(F.sequence(F.lit(1), F.col("steps"))))
-    chain = chain.withColumn("label", F.when(F.col("step_index") == F.col("steps"), 0.0).otherwise(1.0)).withColumn("label_source", F.lit("leaf_chain"))
-    single = good.filter(~leaf).withColumn("step_index", F.col("steps")).withColumn("label", mixed(F.col("mc"))).withColumn("label_source", F.lit("node_mc"))
-    keep = ["instance_id", "repo", "prm_split", "node_key", "step_index", "steps", "label", "label_source", "mc", "n", "visits", "in_pool"]
-    return chain.select(*keep).unionByName(single.select(*keep))
+    steps = F.when(leaf, F.sequence(F.lit(1), F.col("steps"))).otherwise(F.array("steps"))
+    chain = F.when(F.col("step_index") == F.col("steps"), 0.0).otherwise(1.0)
+    out = good.withColumn("step_index", F.explode(steps)).withColumn("label", F.when(leaf, chain).otherwise(mixed(F.col("mc"))))
+    out = out.withColumn("label_source", F.when(leaf, "leaf_chain").otherwise("node_mc"))
+    return out.select("instance_id", "repo", "prm_split", "node_key", "step_index", "steps", "label", "label_source", "mc", "n", "visits", "in_pool")
 
 
 def dedupe(samples: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
