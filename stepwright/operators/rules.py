@@ -79,7 +79,7 @@ def with_drop_reason(df: DataFrame, order: list[str], min_len: int = 1, max_len:
     """``df`` with the first rule a row fails, null for rows that are kept.
 
     A row is a duplicate if a row before it, in ``order``, has its id and passed the rules before; that is
-    decided before the format is checked.
+    decided before the format is checked.  The rows of one id meet in one task.
     """
     text = F.coalesce("problem_statement", F.lit(""))
     owner, _, _ = parse_repo("repo")
