@@ -65,5 +65,5 @@ def test_cut_blank_and_missing_statements_fall_back(spark):
     texts = [("a", ["train"], long, "x"), ("b", ["test"], long[:50] + " [...]", long), ("c", ["dev"], " \n", long), ("d", ["dev"], None, None), ("e", ["dev"], "…", long.upper()), ("f", ["train"], "", None)]
     inst, build = case(spark, texts)
     assert {tuple(r) for r in overlap.overlap_pairs(inst, build).collect()} == {("a", "b"), ("a", "c"), ("a", "e")}
-    assert overlap.overlap_pairs(inst.limit(0), build).count() == 2 * 0 + 0
+    assert overlap.overlap_pairs(inst.limit(0), build).count() == 0
     assert overlap.overlap_pairs(inst, build.limit(0)).count() == 0
