@@ -72,12 +72,33 @@ def scripted_rollouts(tasks: DataFrame, correct_rate: float = 0.5, fail_rate: fl
 
 
 def light_message(message: str = "message") -> dict[str, Column]:
-    """The parts of a message (JSON text) that a stored trajectory keeps, each null where it isn't there."""
+    """The parts of a message (JSON text) that a stored trajectory keeps, and interrupt_type, each null where it isn't there."""
     top = {c: F.get_json_object(message, f"$.{c}") for c in ("role", "content", "tool_call_id")}
-    extra = {c: F.get_json_object(message, f"$.extra.{c}") for c in ("actions", "raw_output", "interrupt_type", "exit_status", "submission", "response")}
+    extra = {c: F.get_json_object(message, f"$.extra.{c}") for c in (*LIGHT_EXTRA, "interrupt_type")}
     return top | extra
 
 
+#: What a stored trajectory keeps of a message, and of its extra.
+LIGHT_TOP, LIGHT_EXTRA = ("role", "content", "tool_call_id"), ("actions", "raw_output", "returncode", "exit_status", "submission", "exception_info")
+
+
+def light_trajectory(df: DataFrame, keys: list[str], steps: str) -> DataFrame:
+    """(keys, step_index from 1, message_index, LIGHT_TOP, LIGHT_EXTRA): one row a message of ``steps`` (JSON text of [{assistant, tail}]).
+
+    message_index is 0 for the assistant message, then counts the tail.  Text that is encoded twice is decoded; unreadable text has no
+    rows.  Values that are no text are given as JSON, null where they aren't there.
+    """
+    once = F.try_parse_json(steps)
+    inner = F.when(F.ltrim(F.col(steps)).startswith('"'), F.try_variant_get(once, "$", "string")).otherwise(F.when(once.isNotNull(), F.col(steps)))
+    readable = df.select(*keys, inner.alias("_text")).filter(F.try_parse_json("_text").isNotNull())
+    one = readable.select(*keys, F.posexplode(F.from_json("_text", "array<struct<assistant: string, tail: array<string>>>")).alias("_s", "_step"))
+    numbered = F.transform(F.coalesce("_step.tail", F.array().cast("array<string>")), lambda m, i: F.struct((i + 1).alias("at"), m.alias("text")))
+    messages = one.select(*keys, (F.col("_s") + 1).alias("step_index"), F.explode(F.concat(F.array(F.struct(F.lit(0).alias("at"), F.col("_step.assistant").alias("text"))), numbered)).alias("_m"))
+    parts = ", ".join(f"{c}: string" for c in LIGHT_TOP) + ", extra: struct<" + ", ".join(f"{c}: string" for c in LIGHT_EXTRA) + ">"
+    read = messages.filter("_m.text IS NOT NULL").select(*keys, "step_index", F.col("_m.at").alias("message_index"), F.from_json("_m.text", f"struct<{parts}>").alias("_m"))
+    return read.select(*keys, "step_index", "message_index", *[f"_m.{c}" for c in LIGHT_TOP], *[f"_m.extra.{c}" for c in LIGHT_EXTRA])
+
+
 def template_hash(*texts: str) -> str:
     """One hash of texts in their order, with a zero byte between them."""
     return hashlib.sha1("\0".join(texts).encode()).hexdigest()

@@ -69,6 +69,7 @@ def _verdicts(d):
 
 QUERIES = {
     "light_projection": _q(_light, "nodes"),
+    "light_trajectory": _q(lambda n: Q.light_trajectory(n, ["instance_id", "node_key"], "prefix_json"), "nodes"),
     "resolved_heads": _q(_heads, "tree_instances", "rollouts"),
     "failure_map": _q(_failures, "rollouts"),
     "scripted_rollouts": _q(lambda n, r: Q.scripted_rollouts(G.missing_slots(n, r, 5).withColumnRenamed("slot", "rollout_idx")), "nodes", "rollouts"),

@@ -32,3 +32,19 @@ def test_small_parts(tmp_path):
     assert Q.template_hash("a", "b") != Q.template_hash("ab") and len(Q.template_hash()) == 40
     (tmp_path / "s.db").write_text("x")
     assert K.keep_aside(str(tmp_path / "s.db")).endswith("s.db.bak1") and K.keep_aside(str(tmp_path / "s.db")) is None
+
+
+def test_light_trajectories_hold_every_message(spark):
+    import json
+
+    extra = {"actions": [{"command": "ls"}], "raw_output": "a", "returncode": 1, "exit_status": "s", "submission": "d", "exception_info": "e", "response": {"big": 1}, "interrupt_type": "x"}
+    said = {"role": "assistant", "content": "c", "tool_calls": []}
+    steps = [{"assistant": said | {"extra": extra}, "tail": [{"role": "tool", "content": None, "tool_call_id": "i", "extra": {}}, {"role": "user", "content": "u"}]}, {"assistant": said, "tail": None}]
+    text = json.dumps(steps)
+    df = spark.createDataFrame([(1, text), (2, json.dumps(text)), (3, text[:-9]), (4, None), (5, "[]"), (6, '"x"')], "k int, j string")
+    rows = Q.light_trajectory(df, ["k"], "j").collect()
+    want = [(1, 0, "assistant", "c", None, '[{"command":"ls"}]', "a", "1", "s", "d", "e"), (1, 1, "tool", None, "i"), (1, 2, "user", "u", None), (2, 0, "assistant", "c", None)]
+    for k in (1, 2):
+        assert sorted(tuple(r)[1:] for r in rows if r.k == k) == [w + (None,) * (11 - len(w)) for w in want]
+    assert {r.k for r in rows} == {1, 2} and rows[0].__fields__[3:] == [*Q.LIGHT_TOP, *Q.LIGHT_EXTRA]
+    assert set(Q.light_message()) == {*Q.LIGHT_TOP, *Q.LIGHT_EXTRA, "interrupt_type"}
