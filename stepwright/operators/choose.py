@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stepwright.operators import metrics as M
+
 GAMMA = 0.95
 LOW = float("-inf")
 
@@ -63,6 +65,17 @@ def best_of(picked: DataFrame, base: str = "random") -> DataFrame:
         F.round(F.avg(F.col("reward") - F.col("base")), 6).alias("mean_difference"))
 
 
+def paired_intervals(picked: DataFrame, base: str = "random", n_boot: int = 200) -> DataFrame:
+    """(selector, measure, low, high, n_boot): interval of the mean difference from ``base``, in reward and in correct.
+
+    Pairs are instances: all selectors are weighed alike in a replicate.  A pair without one of the values is left out, as in best_of.
+    """
+    other = picked.filter(F.col("selector") == base).select("instance_id", F.col("reward").alias("_reward"), F.col("correct").alias("_correct"))
+    gap = lambda c: F.struct(F.lit(c).alias("measure"), (F.col(c).cast("double") - F.col(f"_{c}").cast("double")).alias("gap"))
+    pairs = picked.filter(F.col("selector") != base).join(other, "instance_id").select("instance_id", "selector", F.explode(F.array(gap("reward"), gap("correct"))).alias("x"))
+    return M.bootstrap_ci(pairs.select("instance_id", "selector", "x.measure", "x.gap"), "instance_id", "gap", n_boot, by=["selector", "measure"])
+
+
 def candidate_histogram(rollouts: DataFrame, key: str) -> DataFrame:
     """How many keys have how many candidates."""
     return rollouts.groupBy(key).agg(F.count(F.lit(1)).alias("n_candidates")).groupBy("n_candidates").agg(F.count(F.lit(1)).alias("n_keys"))

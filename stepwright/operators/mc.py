@@ -104,11 +104,11 @@ def histogram(df: DataFrame, *keys: str) -> DataFrame:
 
 
 #: Reasons in the order in which they are checked; the first that holds is the node's.
-def eligibility(nodes: DataFrame, mc: DataFrame, n_steps: Column, min_rollouts: int = 3, tolerance: float = 1e-6) -> DataFrame:
+def eligibility(nodes: DataFrame, mc: DataFrame, n_steps: Column, key_ok: Column, min_rollouts: int = 3, tolerance: float = 1e-6) -> DataFrame:
     """Each node with the reason why it gives no samples, null if it does."""
-    joined = nodes.withColumn("n_steps", n_steps).join(mc, KEYS, "left")
+    joined = nodes.withColumn("n_steps", n_steps).withColumn("key_ok", key_ok).join(mc, KEYS, "left")
     reason = (
         F.when(F.col("n").isNull() | (F.col("n") == 0), "no_rollouts").when(F.col("n") < min_rollouts, "min_rollouts")
-        .when(F.coalesce("n_steps", F.lit(0)) == 0, "empty_prefix").when(F.col("mc_score").isNotNull() & (F.abs(F.col("mc_score") - F.col("mc")) > tolerance), "mc_mismatch")
+        .when(F.coalesce("n_steps", F.lit(0)) == 0, "empty_prefix").when(~F.col("key_ok"), "key_mismatch").when(F.col("mc_score").isNotNull() & (F.abs(F.col("mc_score") - F.col("mc")) > tolerance), "mc_mismatch")
     )
     return joined.withColumn("skip_reason", reason)

@@ -166,8 +166,8 @@ def summary(df: DataFrame, label: str, score: str, by: str, mc: str) -> DataFram
     return plain.join(roc_auc(df, label, score, [by]).select(by, "auc"), by, "left")
 
 
-def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean: each replicate weighs every row by a Poisson(1) number drawn from a hash.
+def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 200, alpha: float = 0.05, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """Percentile interval of the mean (per ``by``): each replicate weighs every row by a Poisson(1) number drawn from a hash.
 
     The weights make the resampling one aggregation of (rows x replicates) counters that combine on the map
     side; no row is drawn by position, so no global numbering is needed.
@@ -177,6 +177,6 @@ def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 200, alpha:
     # The Poisson(1) distribution function at 0 to 6
     cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
     weight = lambda x: sum(((x >= F.lit(c)).cast("int") for c in cdf), F.lit(0))
-    rows = df.filter(F.col(value).isNotNull()).select(value, F.posexplode(F.transform(draws, weight)).alias("b", "w")).filter("w > 0")
-    means = rows.groupBy("b").agg((F.sum(F.col("w") * F.col(value).cast("double")) / F.sum("w")).alias("mean"))
-    return means.agg(rounded(F.percentile("mean", F.lit(alpha / 2)), "low"), rounded(F.percentile("mean", F.lit(1 - alpha / 2)), "high"), F.count(F.lit(1)).alias("n_boot"))
+    rows = df.filter(F.col(value).isNotNull()).select(*(by or []), value, F.posexplode(F.transform(draws, weight)).alias("b", "w")).filter("w > 0")
+    means = rows.groupBy(*(by or []), "b").agg((F.sum(F.col("w") * F.col(value).cast("double")) / F.sum("w")).alias("mean"))
+    return means.groupBy(*(by or [])).agg(rounded(F.percentile("mean", F.lit(alpha / 2)), "low"), rounded(F.percentile("mean", F.lit(1 - alpha / 2)), "high"), F.count(F.lit(1)).alias("n_boot"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +31,30 @@ def n_steps(prefix_json: str = "prefix_json") -> Column:
     return F.json_array_length(prefix_json)
 
 
+def content_key(prefix: str) -> str:
+    """The key under which a tree has a prefix: root, or n_ and 16 hex digits over its steps' JSON."""
+    steps = json.loads(prefix)
+    if not steps:
+        return "root"
+    said = "".join(json.dumps(s, sort_keys=True, ensure_ascii=False) for s in steps)
+    return "n_" + hashlib.sha1(said.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
+def key_matches(node_key: str = "node_key", prefix_json: str = "prefix_json") -> Column:
+    """Whether a node's key is that of its prefix; null where the prefix gives no steps."""
+    @F.pandas_udf("boolean")
+    def same(key: pd.Series, prefix: pd.Series) -> pd.Series:
+        def one(k: str | None, p: str | None) -> bool | None:
+            try:
+                return None if p is None else content_key(p) == k
+            except (ValueError, TypeError):
+                return None
+
+        return pd.Series([one(k, p) for k, p in zip(key, prefix, strict=True)], dtype="object")
+
+    return same(F.col(node_key), F.when(n_steps(prefix_json) > 0, F.col(prefix_json)))
+
+
 def node_samples(nodes: DataFrame, rollouts: DataFrame, splits: DataFrame, trees: DataFrame, min_rollouts: int = 3) -> DataFrame:
     """Samples of the eligible nodes of finished trees with a split and a head.
 
@@ -35,9 +63,9 @@ def node_samples(nodes: DataFrame, rollouts: DataFrame, splits: DataFrame, trees
     """
     live = trees.filter("status = 'done' AND messages_head_json IS NOT NULL").select("instance_id")
     placed = splits.filter("prm_split IS NOT NULL").select("instance_id", "repo", "prm_split").dropDuplicates(["instance_id"])
-    slim = nodes.withColumn("n_steps", n_steps()).select("instance_id", "node_key", "mc_score", "visits", "in_pool", "n_steps", "created_at")
-    latest = slim.groupBy("instance_id", "node_key").agg(F.max_by(F.struct("mc_score", "visits", "in_pool", "n_steps"), F.struct("created_at", "visits", "in_pool", "mc_score", "n_steps")).alias("r")).select("instance_id", "node_key", "r.*")
-    judged = M.eligibility(latest, M.mc_table(rollouts), F.col("n_steps"), min_rollouts).withColumnRenamed("n_steps", "steps")
+    slim = nodes.withColumn("n_steps", n_steps()).withColumn("key_ok", key_matches()).select("instance_id", "node_key", "mc_score", "visits", "in_pool", "n_steps", "key_ok", "created_at")
+    latest = slim.groupBy("instance_id", "node_key").agg(F.max_by(F.struct("mc_score", "visits", "in_pool", "n_steps", "key_ok"), F.struct("created_at", "visits", "in_pool", "mc_score", "n_steps")).alias("r")).select("instance_id", "node_key", "r.*")
+    judged = M.eligibility(latest, M.mc_table(rollouts), F.col("n_steps"), F.col("key_ok"), min_rollouts).withColumnRenamed("n_steps", "steps")
     good = judged.filter("skip_reason IS NULL").join(live, "instance_id", "left_semi").join(placed, "instance_id")
     leaf = M.is_leaf("mc")
     steps = F.when(leaf, F.sequence(F.lit(1), F.col("steps"))).otherwise(F.array("steps"))

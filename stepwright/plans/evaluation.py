@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepwright.operators import metrics as M
+from stepwright.plans import texts
 from stepwright.session import table
 
 
@@ -20,7 +21,19 @@ def _q(function):
     return lambda spark, sf: function(scored(table(spark, sf, "build_dataset")))
 
 
+def _truncated(b):
+    """Metrics of samples that don't fit the context window whole, and of those that do; the gap is of the AUC, null without both."""
+    plan = texts._plan(b).select("row_id", (F.col("outcome") != "fits").alias("cut"))
+    d = scored(b).join(plan, "row_id", "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
+    parts = M.bucket_metrics(d, "y", "s", F.when(F.col("cut"), "truncated").otherwise("not_truncated"))
+    auc = lambda name: F.max(F.when(F.col("bucket") == name, F.col("auc")))
+    gap = parts.agg(F.round(auc("truncated") - auc("not_truncated"), 6).alias("auc_gap_truncated_minus_clean"))
+    return parts.crossJoin(gap)
+
+
 QUERIES = {
+    "truncated_buckets": lambda spark, sf: _truncated(table(spark, sf, "build_dataset")),
+    "dev_brier": _q(lambda d: d.filter("split = 'dev'").withColumn("p", M.sigmoid(F.col("s") * 4 - 2)).agg(M.rounded(M.brier("y", "p"), "brier"))),
     "roc_auc": _q(lambda d: M.roc_auc(d, "y", "s")),
     "roc_auc_by_source": _q(lambda d: M.roc_auc(d, "y", "s", ["label_source"])),
     "average_ranks": _q(lambda d: M.average_ranks(d, "row_id", "s")),

@@ -62,7 +62,7 @@ def _node_samples(n, r, i, t):
 
 
 def _eligibility(n, r):
-    return M.eligibility(n.select("instance_id", "node_key", "mc_score", "prefix_json"), M.mc_table(r), D.n_steps()).groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n"))
+    return M.eligibility(n.select("instance_id", "node_key", "mc_score", "prefix_json"), M.mc_table(r), D.n_steps(), D.key_matches()).groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _labels(r):

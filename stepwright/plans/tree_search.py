@@ -97,6 +97,7 @@ QUERIES = {
     "cap_candidates": _q(lambda r: C.cap(_slots(r).filter("node_key = 'root'"), "instance_id", 3).select("instance_id", "rollout_idx"), "rollouts"),
     "selectors": _q(lambda r: C.selected(_root_candidates(r)).withColumn("reward", F.round("reward", 6)), "rollouts"),
     "best_of": _q(lambda r: C.best_of(C.selected(_root_candidates(r))), "rollouts"),
+    "best_of_intervals": _q(lambda r: C.paired_intervals(C.selected(_root_candidates(r))), "rollouts"),
     "candidate_histogram": _q(lambda r: C.candidate_histogram(_slots(r).filter("node_key = 'root'"), "instance_id"), "rollouts"),
 }
 

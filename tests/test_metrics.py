@@ -63,3 +63,26 @@ def test_bootstrap_interval_holds_the_mean(spark):
 def test_loss_is_stable(spark):
     df = spark.createDataFrame([(1.0, 800.0), (0.0, -800.0), (0.0, 0.0)], "y double, z double")
     assert df.agg(M.soft_bce("y", "z")).first()[0] == pytest.approx(np.log(2) / 3)
+
+
+def test_paired_intervals_truncated_buckets_and_keys(spark):
+    import hashlib
+    import json
+
+    from stepwright.operators import choose as C
+    from stepwright.operators import mc as MC
+    from stepwright.operators import samples as D
+    from stepwright.plans import evaluation
+
+    picked = [(f"i{i}", s, r, int(r > 0.5)) for i in range(40) for s, r in (("random", 0.25 + i % 3 / 8), ("oracle", 0.75 + i % 3 / 8), ("shortest", 0.25 + i % 5 / 8))]
+    rows = {(r.selector, r.measure): (r.low, r.high) for r in C.paired_intervals(spark.createDataFrame(picked, "instance_id string, selector string, reward double, correct int")).collect()}
+    assert set(rows) == {(s, m) for s in ("oracle", "shortest") for m in ("reward", "correct")}
+    assert rows["oracle", "reward"] == (0.5, 0.5) and rows["shortest", "reward"][0] < 0.125 < rows["shortest", "reward"][1]
+    step = {"tail": [], "assistant": {"role": "assistant", "content": "é"}}
+    key = "n_" + hashlib.sha1(json.dumps(step, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+    text = json.dumps([step])
+    nodes = spark.createDataFrame([("a", key, 0.5, text), ("a", "n_0", 0.5, text), ("a", "root", None, "[]"), ("a", "n_1", 0.5, text[:9])], "instance_id string, node_key string, mc_score double, prefix_json string")
+    mc = spark.createDataFrame([("a", k, 0.5, 3) for k in (key, "n_0", "root", "n_1")], "instance_id string, node_key string, mc double, n long")
+    got = {r.node_key: r.skip_reason for r in MC.eligibility(nodes, mc, D.n_steps(), D.key_matches()).collect()}
+    assert got == {key: None, "n_0": "key_mismatch", "root": "empty_prefix", "n_1": "empty_prefix"}
+    assert {"truncated_buckets", "dev_brier"} <= set(evaluation.QUERIES)
