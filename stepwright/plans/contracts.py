@@ -39,8 +39,8 @@ def _failures(r):
 
 
 def _trajectory(r):
-    """Correlation of the rollouts' prefix scores with their rewards, on root rollouts."""
-    d = _root_candidates(r).filter("n_scores <= 32")
+    """Correlation of the rollouts' prefix scores with their rewards, on root rollouts, each by its first 32 steps."""
+    d = _root_candidates(r, 32).filter("n_scores IS NOT NULL")
     both = lambda c, y: M.rounded(M.pearson(F.col(c), F.col(y)), f"{c}_{y}")
     return d.agg(F.count(F.lit(1)).alias("n"), *[both(c, y) for c in ("agg_mean", "agg_min", "agg_last") for y in ("reward", "correct")])
 

@@ -76,8 +76,10 @@ def _scores(r):
     return _slots(r).filter("n_steps > 0").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n_steps") - 1))).withColumn("p", F.round(p, 3))
 
 
-def _root_candidates(r):
-    agg = C.rollout_aggregates(_scores(r), K.SLOT)
+def _root_candidates(r, most_steps=None):
+    """Root rollouts with the aggregates of their prefixes, of the first ``most_steps`` if given."""
+    scores = _scores(r)
+    agg = C.rollout_aggregates(scores if most_steps is None else scores.filter(F.col("t") < most_steps), K.SLOT)
     return _slots(r).filter("node_key = 'root'").join(agg, K.SLOT, "left")
 
 

@@ -95,3 +95,15 @@ def test_choice_of_candidates(spark):
     assert sorted(r.rollout_idx for r in capped.collect()) == [0, 1, 2, 3, 4]
     pair = C.usable_pair(spark.createDataFrame([("a", 0.5), ("b", float("nan")), ("c", 0.6)], "pair string, auc double"), "pair", "auc").first()
     assert (pair.pair, pair.usable) == ("c", True)
+
+
+def test_long_rollouts_count_by_their_first_steps(spark):
+    from stepwright.plans import contracts, tree_search
+
+    columns = "instance_id string, node_key string, rollout_idx int, is_consumed int, n_steps int, correct int, reward double, exit_status string"
+    rows = [("a", "root", i, 0, n, i % 2, i / 4, "Submitted") for i, n in enumerate((3, 32, 33, 90, 0))]
+    r = spark.createDataFrame(rows, columns)
+    assert contracts._trajectory(r).first().n == 4
+    same = lambda d: sorted((x.rollout_idx, x.n_scores, x.agg_mean, x.agg_last) for x in d.filter("n_scores IS NOT NULL").collect())
+    short = spark.createDataFrame([(*x[:4], min(x[4], 32), *x[5:]) for x in rows], columns)
+    assert same(tree_search._root_candidates(r, 32)) == same(tree_search._root_candidates(short))
