@@ -211,16 +211,16 @@ def overlap_pairs(instances: DataFrame, build_dataset: DataFrame) -> DataFrame:
 def overlap_report(instances: DataFrame, build_dataset: DataFrame) -> DataFrame:
     """Pairs and held-out instances per held-out split and per source of the held-out and the training instance.
 
-    An instance delivered under several sources counts under the first by name.
+    A pair of instances delivered under several sources counts under each; split_pairs, split_exact and split_eval_instances
+    are the totals of the split, each pair and instance once.
     """
-    found = overlaps(instances, build_dataset)
-    source = instances.groupBy("instance_id").agg(F.min("source").alias("source"))
     split = clean_split("split")
     placed = build_dataset.filter(split.isin("dev", "test")).select(F.col("instance_id").alias("eval_id"), split.alias("eval_split")).distinct()
+    pairs = cut_lineage(overlaps(instances, build_dataset).join(placed, "eval_id"))
+    source = instances.filter("source IS NOT NULL").select("instance_id", "source").distinct()
     named = (
-        found.join(placed, "eval_id")
-        .join(source.select(F.col("instance_id").alias("eval_id"), F.col("source").alias("eval_source")), "eval_id", "left")
+        pairs.join(source.select(F.col("instance_id").alias("eval_id"), F.col("source").alias("eval_source")), "eval_id", "left")
         .join(source.select(F.col("instance_id").alias("train_id"), F.col("source").alias("train_source")), "train_id", "left")
     )
-    return named.groupBy("eval_split", "eval_source", "train_source").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.count_if("exact").alias("n_exact"), F.countDistinct("eval_id").alias("n_eval_instances"))
+    counts = lambda prefix: (F.count(F.lit(1)).alias(f"{prefix}pairs"), F.count_if("exact").alias(f"{prefix}exact"), F.countDistinct("eval_id").alias(f"{prefix}eval_instances"))
+    return named.groupBy("eval_split", "eval_source", "train_source").agg(*counts("n_")).join(pairs.groupBy("eval_split").agg(*counts("split_")), "eval_split")

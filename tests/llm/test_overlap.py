@@ -67,3 +67,12 @@ def test_cut_blank_and_missing_statements_fall_back(spark):
     assert {tuple(r) for r in overlap.overlap_pairs(inst, build).collect()} == {("a", "b"), ("a", "c"), ("a", "e")}
     assert overlap.overlap_pairs(inst.limit(0), build).count() == 0
     assert overlap.overlap_pairs(inst, build.limit(0)).count() == 0
+
+
+def test_report_counts_every_source_and_totals_once(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    inst, build = case(spark, [("a", ["train"], text, "x"), ("b", ["test"], text, "x")])
+    again = spark.createDataFrame([("b", text, "alpha"), ("b", text, "alpha"), ("a", text, None)], inst.schema)
+    got = overlap.overlap_report(inst.unionByName(again), build).collect()
+    assert sorted((r.eval_split, r.eval_source, r.train_source, r.n_pairs, r.n_exact, r.n_eval_instances) for r in got) == [("test", s, "src", 1, 1, 1) for s in ("alpha", "src")]
+    assert {(r.split_pairs, r.split_exact, r.split_eval_instances) for r in got} == {(1, 1, 1)}
