@@ -43,10 +43,7 @@ def _commands(b):
 
 
 def _policy(b):
-    """Each distinct command is judged once, so Python sees no repeats."""
-    commands = _commands(b)
-    judged = commands.select("command").distinct().withColumn("reason", H.refusal_udf("command"))
-    return commands.join(judged, "command").select("row_id", "call_id", "reason")
+    return _commands(b).select("row_id", "call_id", H.refusal("command").alias("reason"), H.refusal("command", strict=True, scratch_writes=False).alias("strict_reason"))
 
 
 def _clip(b):
@@ -71,6 +68,29 @@ QUERIES = {
 _FORBIDDEN_SQL = "|".join(H.FORBIDDEN).replace("'", "''")
 
 
+def _policy_sql(commands):
+    """The rules of the policy over (row_id, call_id, command)."""
+    names = lambda words: ", ".join(f"'{w}'" for w in words)
+    path = r"regexp_replace(o, '^(\$TMPDIR|\$\{TMPDIR\})(/.*)?$', '/tmp\2')"
+    steps = f"list_prepend([]::VARCHAR[], list_transform(list_filter(string_split({path}, '/'), lambda n: n NOT IN ('', '.')), lambda n: [n]))"
+    folded = f"list_reduce({steps}, lambda done, n: CASE WHEN n[1] = '..' THEN done[1:len(done) - 1] ELSE list_concat(done, n) END)"
+    off = f"lambda o: NOT ({path} LIKE '/%' AND coalesce({folded}[1] = 'tmp' OR {folded}[1:2] = ['dev', 'null'], false))"
+    part = r"'(?s)^[\s(]*(?:(?:[A-Za-z_]\w*=\S*|time|command|nohup|sudo)\s+)*(\S+)\s*(.*)$'"
+    setting = r"'^[A-Za-z_]\w*='"
+    return rf"""{commands}, b AS (SELECT row_id, call_id, regexp_replace(command, '^\s+|\s+$', '', 'g') AS t FROM c WHERE command IS NOT NULL),
+        s AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '[;&|\n]'), lambda p: {{'program': regexp_extract(p, {part}, 1), 'arguments': regexp_extract(p, {part}, 2)}}),
+                lambda x: x.program <> '' AND NOT regexp_matches(x.program, {setting})) AS parts,
+            list_transform(regexp_extract_all(t, '(?:^|[^12&])>+\s*(\S+)', 1), lambda x: trim(x, '''"')) AS sent FROM b),
+        w AS (SELECT *, list_transform(parts, lambda x: regexp_extract(x.program, '[^/]*$')) AS names,
+            flatten(list_transform(list_filter(parts, lambda x: regexp_extract(x.program, '[^/]*$') IN ({names(H.WRITERS)})),
+                lambda x: list_filter(regexp_split_to_array(x.arguments, '\s+'), lambda o: o <> '' AND o NOT LIKE '-%' AND NOT regexp_matches(o, {setting})))) AS written FROM s),
+        v AS (SELECT *, regexp_matches(t, '(?i){_FORBIDDEN_SQL}') AS never FROM w)
+        SELECT row_id, call_id,
+            CASE WHEN t = '' THEN 'empty' WHEN never THEN 'forbidden' WHEN len(list_filter(written, {off})) > 0 THEN 'write' WHEN len(list_filter(sent, {off})) > 0 THEN 'redirect' END AS reason,
+            CASE WHEN t = '' THEN 'empty' WHEN never THEN 'forbidden' WHEN len(written) > 0 THEN 'write' WHEN len(sent) > 0 THEN 'redirect'
+                 WHEN len(list_filter(names, lambda n: n NOT IN ({names(H.READERS)}))) > 0 THEN 'unlisted' END AS strict_reason FROM v"""
+
+
 def _oracles():
     from stepwright.plans.trajectories import _M, _STEPS
 
@@ -98,6 +118,7 @@ def _oracles():
         "head_tail_clip": f"""WITH {tool}, h AS (SELECT row_id, CASE WHEN length(content) <= 60 THEN content ELSE left(content, 30) || chr(10) || '... [' || (length(content) - 60) || ' characters left out] ...' || chr(10) || right(content, 30) END AS t
             FROM f WHERE content IS NOT NULL) SELECT row_id, length(t) AS n, md5(t) AS digest FROM h""",
         "command_forbidden": f"WITH {commands} SELECT row_id, call_id, regexp_matches(command, '(?i){_FORBIDDEN_SQL}') AS forbidden FROM c WHERE command IS NOT NULL",
+        "command_policy": "WITH " + _policy_sql(commands),
         "safe_names": f"SELECT repo, coalesce(nullif({safe}, ''), 'repo') AS name FROM (SELECT DISTINCT repo FROM instances)",
         "shell_quote": f"""WITH {commands} SELECT row_id, call_id, '''' || replace(command, '''', '''"''"''') || '''' AS quoted FROM c WHERE command IS NOT NULL""",
         "switches": "SELECT instance_id, source, CASE WHEN coalesce(trim(source), '') = '' THEN true ELSE lower(trim(source)) IN ('1', 'true', 'yes', 'on') END AS flag, CASE WHEN regexp_matches(commit8, '^[0-9]+$') THEN coalesce(try_cast(commit8 AS INT), -1) ELSE -1 END AS number FROM instances",
