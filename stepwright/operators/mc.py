@@ -33,12 +33,6 @@ def is_leaf(mc: str = "mc") -> Column:
     return (F.col("node_key") != "root") & (F.col(mc) == 0)
 
 
-def latest_nodes(nodes: DataFrame) -> DataFrame:
-    """Each node once: of repeated deliveries, the last created (nulls first)."""
-    best = nodes.groupBy(*KEYS).agg(F.max_by(F.struct("status", "prefix_json", "mc_score", "visits", "in_pool", "created_at"), F.struct("created_at", "visits", "in_pool", "mc_score", "status", "prefix_json")).alias("r"))
-    return best.select(*KEYS, "r.*")
-
-
 def latest_rollouts(rollouts: DataFrame) -> DataFrame:
     """Each slot once: of repeated deliveries the one that arrived last."""
     rest = [c for c in rollouts.columns if c not in (*KEYS, "rollout_idx")]
@@ -85,7 +79,7 @@ def report(trees: DataFrame, nodes: DataFrame, rollouts: DataFrame) -> DataFrame
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     sums = per_tree.agg(count().alias("n_trees"), F.count_if(F.col("status") == "done").alias("n_done"), *[total(c) for c in ("n_nodes", "n_rollouts", "n_correct", "n_consumed", "n_submitted")], F.sum("w").alias("w"))
     rate = lambda part, name: F.round(F.coalesce(F.try_divide(part, F.col("n_rollouts")), F.lit(0.0)), 4).alias(name)
-    return sums.withColumn("_one", F.lit(1)).join(leaves.withColumn("_one", F.lit(1)), "_one").select(
+    return sums.crossJoin(leaves).select(  # one row each
         "n_trees", "n_done", "n_nodes", "n_rollouts", "n_correct", "n_consumed", "n_submitted", "n_leaves", "trees_with_leaf",
         rate(F.col("n_correct"), "correct_rate"), rate(F.col("n_submitted"), "submit_rate"), rate(F.col("w"), "mean_reward"))
 

@@ -33,14 +33,11 @@ _ARROW = pa.schema(
      ("parent_pre", pa.int64()), ("depth", pa.int32()), ("ord", pa.int32()), ("step_index", pa.int32()), ("node_id", pa.string()),
      ("role", pa.string()), ("name", pa.string()), ("body", pa.string()), ("answered", pa.bool_()), ("score", pa.float64())]
 )
-_MAX_ENCODINGS = 4
 
 
 def decoded(value):
     """``value`` with JSON text in place of a list or object parsed, however often it was encoded."""
-    for _ in range(_MAX_ENCODINGS):
-        if not isinstance(value, str):
-            return value
+    while isinstance(value, str):  # each turn makes it shorter
         text = value.strip()
         if text[:1] not in ("[", "{", '"'):
             return None

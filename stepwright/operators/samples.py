@@ -8,7 +8,6 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stepwright.operators import mc as M
 
@@ -140,8 +139,3 @@ def manifest(samples: DataFrame, split: str) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part.select("section", "key", "value"))
     return out
-
-
-def first_of_each(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_at", F.row_number().over(w)).filter("_at = 1").drop("_at")

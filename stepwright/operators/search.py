@@ -101,14 +101,15 @@ def advance(probed: DataFrame, mc: str = "mc") -> tuple[DataFrame, DataFrame]:
     return events, onward
 
 
-def bisect(sessions: DataFrame, rates: DataFrame, max_rounds: int = 40) -> DataFrame:
+def bisect(sessions: DataFrame, rates: DataFrame) -> DataFrame:
     """(session, probe, kind) of every probe that expanded or was a leaf.
 
     ``rates`` (session, probe, mc) has the rates of the prefixes that can be asked for; where one is missing
-    the session waits, that is, ends here.  Each round is one join for all sessions.
+    the session waits, that is, ends here.  Each round is one join for all sessions; a span at least falls by one
+    in a round, and to its half in all but two of them, so the rounds end.
     """
     state, found = start_bisection(sessions), []
-    for _ in range(max_rounds):
+    while True:
         asked = cut_lineage(probes(state).join(rates, ["session", "probe"]))
         if asked.isEmpty():
             break

@@ -78,3 +78,11 @@ def test_a_key_with_a_null_part_and_many_equal_rows(spark):
                                   "tool_calls:array<struct<id:string,function:struct<name:string,arguments:string>>>>>")
     rollouts = spark.createDataFrame([], "instance_id string, node_key string, rollout_idx int, result_json string")
     assert [tuple(r) for r in nested.unanswered_calls(build, nodes, rollouts).collect()] == [("nodes", "i", 1, "b")]
+
+
+def test_values_encoded_any_number_of_times(spark):
+    text = [json.dumps([STEP])]
+    for _ in range(7):
+        text.append(json.dumps(text[-1]))
+    assert found(spark, text) == [(f"k{i}", 1, "b") for i in range(len(text))]
+    assert found(spark, [json.dumps("plain"), json.dumps(json.dumps([STEP]))[:-1]]) == []
