@@ -29,14 +29,16 @@ def words(text: str | None) -> list[str]:
     return [w for w in found if w]
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
+def common_in_order(a: list, b: list, least: int) -> bool:
+    """Whether the longest common subsequence has ``least`` words, by bit-parallel rows; ends as soon as it can't."""
     where: dict = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | (1 << i)
     full = (1 << len(a)) - 1
-    row = full
-    for y in b:
+    row, spare = full, len(a) + len(b) - least  # of the words of a found so far and the words of b left
+    for j, y in enumerate(b):
         hit = row & where.get(y, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+        if j % 8 == 7 and row.bit_count() + j + 1 > spare:
+            return False
+    return len(a) - row.bit_count() >= least
