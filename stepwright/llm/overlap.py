@@ -102,7 +102,7 @@ def classes(df: DataFrame) -> DataFrame:
                 found = words(text)
                 if not found:
                     continue
-                if len(memo) > 500_000:
+                if len(memo) > 200_000:
                     memo.clear()
                 for w in found:
                     if w not in memo:

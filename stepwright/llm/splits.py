@@ -22,7 +22,8 @@ from stepwright.session import cut_lineage
 SHARES = {"train": 0.8, "dev": 0.1, "test": 0.1}
 #: Components of at least this share of all rows are placed first, in train as far as it has room.
 HEAVY_SHARE = 0.01
-_BUCKETS = 1024
+#: Components of about this many are in a bucket of the running sum.
+_BUCKET_ROWS = 20_000
 
 
 def clean_split(split: str | Column) -> Column:
@@ -31,6 +32,12 @@ def clean_split(split: str | Column) -> Column:
     return F.when(text.isin(*SHARES), text)
 
 
+def _bits(split: str) -> Column:
+    """1 for train, 2 for dev, 4 for test, 0 for anything else."""
+    split = clean_split(split)
+    return F.when(split == "train", 1).when(split == "dev", 2).when(split == "test", 4).otherwise(0)
+
+
 def repository(repo: str | Column) -> Column:
     """owner/name in lower case, whatever address, mirror or snapshot it is written as; null if there is none.
 
@@ -91,12 +98,11 @@ def _unwound(merges: list[DataFrame], edges: DataFrame) -> DataFrame:
 
 
 def related(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The distinct (instance_id, repo) of ``df`` with their repository, rows and splits, and the component of each vertex.
+    """The distinct (instance_id, repo) of ``df`` with their repository and rows, and the component of each vertex.
 
     An instance is the vertex ``i:<instance_id>``, a repository ``r:<owner/name>``.
     """
-    bits = F.when(clean_split("split") == "train", 1).when(clean_split("split") == "dev", 2).when(clean_split("split") == "test", 4).otherwise(0)
-    pairs = df.groupBy("instance_id", "repo").agg(F.count(F.lit(1)).alias("n_rows"), F.bit_or(bits).alias("splits"))
+    pairs = df.groupBy("instance_id", "repo").agg(F.count(F.lit(1)).alias("n_rows"))
     pairs = cut_lineage(pairs.withColumn("repository", repository("repo")))
     vertices = pairs.select("*", F.concat(F.lit("i:"), "instance_id").alias("i"), F.concat(F.lit("r:"), "repository").alias("r"))
     return vertices, components(vertices.select(F.col("i").alias("a"), F.col("r").alias("b")))
@@ -129,10 +135,11 @@ def assign_splits(df: DataFrame, row_id: str = "row_id", shares: dict[str, float
 def _placed(weights: DataFrame, shares: dict[str, float], heavy_share: float, seed: int) -> DataFrame:
     """(component, assigned) by cumulative weight.
 
-    The running sum is taken in two levels: within hash buckets of the components, and over the sums of
-    the at most ``_BUCKETS`` buckets, so no task sees all components.
+    The running sum is taken in two levels: within hash buckets of about ``_BUCKET_ROWS`` components, and over
+    the sums of the buckets, so no task sees all components.
     """
-    total = weights.agg(F.sum("weight")).first()[0] or 0
+    total, n = weights.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = n // _BUCKET_ROWS + 1
     names, heavy = list(shares), F.col("weight") >= F.lit(heavy_share) * F.lit(total)
     # heavy components are at most 1 / heavy_share; their order is by weight
     hashed = F.xxhash64(F.lit(seed), "component")
@@ -148,7 +155,7 @@ def _placed(weights: DataFrame, shares: dict[str, float], heavy_share: float, se
     light_total = total - sum(r.weight for r in heavies)
     gaps = [max(0.0, room[n] - taken[n]) for n in names]
     scale = light_total / sum(gaps) if sum(gaps) else 0.0
-    light = weights.filter(~heavy).withColumn("_h", hashed).withColumn("_b", F.pmod(F.shiftright("_h", 20), F.lit(_BUCKETS)))
+    light = weights.filter(~heavy).withColumn("_h", hashed).withColumn("_b", F.pmod(F.shiftright("_h", 20), F.lit(buckets)))
     sums = light.groupBy("_b").agg(F.sum("weight").alias("_sum"))
     before = sums.select("_b", (F.sum("_sum").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_sum")).alias("_before"))
     inside = F.sum("weight").over(Window.partitionBy("_b").orderBy("_h", "component").rowsBetween(Window.unboundedPreceding, 0))
@@ -156,18 +163,22 @@ def _placed(weights: DataFrame, shares: dict[str, float], heavy_share: float, se
     choice, edge = F.lit(names[-1]), [sum(gaps[: i + 1]) * scale for i in range(len(names))]
     for i in range(len(names) - 2, -1, -1):
         choice = F.when(middle < F.lit(edge[i]), F.lit(names[i])).otherwise(choice)
-    spread = light.withColumn("_in", inside).join(F.broadcast(before), "_b")  # at most _BUCKETS rows
+    spread = light.withColumn("_in", inside).join(F.broadcast(before), "_b")  # a row a bucket
     return placed.unionByName(spread.select("component", choice.alias("assigned")))
 
 
 def spread_over_splits(df: DataFrame) -> DataFrame:
     """Instances whose repository has rows in more than one of train, dev and test (in the column split).
 
-    The splits are gathered per component and repository, so an instance that links two repositories
-    doesn't make one's rows count for the other.
+    Here the relation is the repository alone: each way in which it is written is an edge from that text to the
+    repository it names, and each instance under such a text one to the text (rows without an instance are the text's own).  An instance that is written under two
+    repositories is a vertex in each, so it doesn't link them.  The splits are gathered by component.
     """
-    vertices, labels = related(df)
-    known = vertices.filter("repository IS NOT NULL")
-    placed = known.join(labels.select(F.col("vertex").alias("r"), "component"), "r", "left").withColumn("component", F.coalesce("component", "r"))
-    mixed = placed.groupBy("component", "repository").agg(F.bit_or("splits").alias("all_splits")).filter(F.bit_count("all_splits") > 1)
-    return placed.join(mixed.select("component", "repository"), ["component", "repository"], "left_semi").filter("instance_id IS NOT NULL").select("instance_id").distinct()
+    rows = df.groupBy("instance_id", "repo").agg(F.bit_or(_bits("split")).alias("splits")).withColumn("r", F.concat(F.lit("r:"), repository("repo"))).filter("r IS NOT NULL")
+    text = F.concat(F.lit("w:"), "repo")
+    own = F.concat(F.lit("i:"), F.length("repo").cast("string"), F.lit(":"), "repo", "instance_id")  # null without an instance
+    rows = cut_lineage(rows.select("instance_id", "splits", text.alias("w"), "r", F.coalesce(own, text).alias("vertex")))
+    edges = rows.select(F.col("vertex").alias("a"), F.col("w").alias("b")).unionByName(rows.select(F.col("w").alias("a"), F.col("r").alias("b")))
+    placed = rows.select("instance_id", "splits", "vertex").join(components(edges), "vertex")
+    mixed = placed.groupBy("component").agg(F.bit_or("splits").alias("all_splits")).filter(F.bit_count("all_splits") > 1)
+    return placed.join(mixed.select("component"), "component", "left_semi").filter("instance_id IS NOT NULL").select("instance_id").distinct()

@@ -89,3 +89,12 @@ def test_two_repositories_of_one_instance_are_not_one(spark):
     df = spark.createDataFrame(rows, "row_id bigint, instance_id string, repo string, split string")
     assert splits.spread_over_splits(df).count() == 0
     assert len({r.assigned for r in splits.assign_splits(df).collect()}) == 1
+
+
+def test_spread_comes_from_the_components(spark, monkeypatch):
+    rows = [(1, "i", "a/b", "train"), (2, "j", "A/B.git", "dev"), (3, "k", "c/d", "dev")]
+    df = spark.createDataFrame(rows, "row_id bigint, instance_id string, repo string, split string")
+    assert {r.instance_id for r in splits.spread_over_splits(df).collect()} == {"i", "j"}
+    ends = lambda edges: edges.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().withColumn("component", F.col("vertex"))
+    monkeypatch.setattr(splits, "components", ends)  # no vertex is contracted into another
+    assert splits.spread_over_splits(df).count() == 0

@@ -1,4 +1,7 @@
 import datetime as dt
+import random
+
+import pytest
 
 from stepwright.llm import survivors
 
@@ -48,3 +51,29 @@ def test_a_group_with_many_copies(spark):
     rows = [row(i, "hot", "node_mc" if i == 77 else "leaf_chain", key=f"n{i % 3}") for i in range(2000)]
     got = survivors.survivors(frame(spark, rows)).collect()
     assert len(got) == 1 and got[0].keep_row_id == 77 and got[0].n_rows == 2000
+
+
+def test_the_kept_row_follows_the_reliabilities(spark, monkeypatch):
+    rows = [row(1, source="leaf_chain", n=9), row(2, source="node_mc", n=1), row(3, source=None, n=99)]
+    assert [r.keep_row_id for r in survivors.survivors(frame(spark, rows)).collect()] == [2]
+    for best, keep in (("leaf_chain", 1), ("", 3)):
+        monkeypatch.setattr(survivors, "discover", lambda by_value, rounds, best=best: {s: float(s == best) for s in ("node_mc", "leaf_chain", "")})
+        assert [r.keep_row_id for r in survivors.survivors(frame(spark, rows)).collect()] == [keep]
+
+
+def test_a_source_is_never_below_one_that_is_trusted_less(spark):
+    rows = []
+    for g in range(60):  # node_mc is always outvoted
+        rows += [row(g * 10, f"g{g}", "node_mc", 1, key=f"n_bad{g}")] + [row(g * 10 + i, f"g{g}", "leaf_chain", 9, key="n_good") for i in range(1, 4)]
+    got = survivors.survivors(frame(spark, rows)).collect()
+    assert len(got) == 60 and all((r.keep_row_id % 10, r.label_source, r.node_key) == (0, "node_mc", "n_good") for r in got)
+    known = survivors.ranked({"node_mc": 0.1, "leaf_chain": 0.9, "": 0.4})
+    assert known["node_mc"] > known["leaf_chain"] == 0.9 > known[""] == 0.4
+
+
+def test_discovery_comes_to_rest_or_raises(spark):
+    rnd = random.Random(4)
+    rows = [row(i, f"g{i % 50}", rnd.choice(["node_mc", "leaf_chain", None]), rnd.randrange(9), key=f"n{rnd.randrange(3)}", label=float(rnd.randrange(2))) for i in range(600)]
+    assert survivors.survivors(frame(spark, rows)).count() == 50
+    with pytest.raises(RuntimeError, match="still move after 1 rounds"):
+        survivors.survivors(frame(spark, rows), max_rounds=1)
