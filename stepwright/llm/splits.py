@@ -174,7 +174,9 @@ def spread_over_splits(df: DataFrame) -> DataFrame:
     repository it names, and each instance under such a text one to the text (rows without an instance are the text's own).  An instance that is written under two
     repositories is a vertex in each, so it doesn't link them.  The splits are gathered by component.
     """
-    rows = df.groupBy("instance_id", "repo").agg(F.bit_or(_bits("split")).alias("splits")).withColumn("r", F.concat(F.lit("r:"), repository("repo"))).filter("r IS NOT NULL")
+    # cut before the repository is read out of the text, or that were done for every row of df
+    rows = cut_lineage(df.groupBy("instance_id", "repo").agg(F.bit_or(_bits("split")).alias("splits")))
+    rows = rows.withColumn("r", F.concat(F.lit("r:"), repository("repo"))).filter("r IS NOT NULL")
     text = F.concat(F.lit("w:"), "repo")
     own = F.concat(F.lit("i:"), F.length("repo").cast("string"), F.lit(":"), "repo", "instance_id")  # null without an instance
     rows = cut_lineage(rows.select("instance_id", "splits", text.alias("w"), "r", F.coalesce(own, text).alias("vertex")))
