@@ -2,10 +2,12 @@
 
 The words of all test items are put into one generalised suffix automaton.  A document's words are
 streamed through it; the state tells the longest ending of what was read that occurs in any item.
-Wherever that match has SEED words or more, the items and places where it occurs are known from the
-state.  A passage of MIN_WORDS item words with at most one edit in ten has an unbroken run of at
-least SEED words, so every case is met; a match of MIN_WORDS words is a case at once, the other
-places are checked by an alignment of the item with the document around them.
+A match of MIN_WORDS words is a case at once.  Wherever a match has SEED words or more, the items and
+places where it occurs are known from the state, and are checked by an alignment of the item with the
+document around them: a passage of MIN_WORDS item words with at most one edit in ten has an unbroken
+run of at least SEED words, so every case is met.
+
+The runs of a passage give the span of the document to be taken out.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from stepwright.llm.words import words
+from stepwright.llm.words import word_places, words
 from stepwright.session import document_batches
 
 #: Item words in a row that make a case, and item words for each edit allowed.
 MIN_WORDS, PER_EDIT = 25, 10
-#: The automaton is broadcast: items of more words in all are handled in several passes of this size.
-MAX_ITEM_WORDS = 400_000
+#: The items of an automaton are broadcast: those beyond so many words or bytes in all are handled in further passes.
+MAX_ITEM_WORDS, MAX_ITEM_BYTES = 200_000, 8 << 20
 
 
 def seed_length(min_words: int = MIN_WORDS, per_edit: int = PER_EDIT) -> int:
@@ -33,26 +35,59 @@ def seed_length(min_words: int = MIN_WORDS, per_edit: int = PER_EDIT) -> int:
 
 
 class Automaton:
-    """Generalised suffix automaton over the words of items; states know where their words end."""
+    """Generalised suffix automaton over the words of items; states know where their words end.
+
+    The places of a state are those of all states below it in the tree of suffix links.  They are kept in one list in the
+    order of that tree, in which each state's are a range, so they take no more room than the items.
+    """
 
-    def __init__(self, items: list[list[int]]):
+    def __init__(self, items: list[list[int]], *lengths: int):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [[]]
+        self.link, self.length = [-1], [0]
+        ends: list[tuple[int, int, int]] = []
         for number, item in enumerate(items):
             last = 0
             for place, word in enumerate(item):
                 last = self._extend(last, word)
-                self.ends[last].append((number, place))
-        # places are handed up the suffix links, the longest states first
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            if self.link[state] > 0:
-                self.ends[self.link[state]].extend(self.ends[state])
+                ends.append((last, number, place))
+        shortest_first = sorted(range(1, len(self.length)), key=self.length.__getitem__)
+        own = [0] * len(self.length)
+        for state, _, _ in ends:
+            own[state] += 1
+        total = list(own)
+        for state in reversed(shortest_first):
+            total[self.link[state]] += total[state]
+        self.low = [0] * len(self.length)
+        free = list(own)  # where the next state below begins, after a state's own places
+        for state in shortest_first:
+            above = self.link[state]
+            self.low[state], free[above] = free[above], free[above] + total[state]
+            free[state] += self.low[state]
+        self.high = [low + n for low, n in zip(self.low, total, strict=True)]
+        self.numbers, self.places = [0] * len(ends), [0] * len(ends)
+        at = list(self.low)
+        for state, number, place in ends:
+            self.numbers[at[state]], self.places[at[state]] = number, place
+            at[state] += 1
+        #: For each of ``lengths``, the state above each one that still has so many words.
+        self.tops = {n: self._tops(n, shortest_first) for n in lengths}
+
+    def _tops(self, least: int, shortest_first: list[int]) -> list[int]:
+        tops = [0] * len(self.length)
+        for state in shortest_first:
+            above = self.link[state]
+            tops[state] = tops[above] if self.length[above] >= least else state
+        return tops
+
+    def ends(self, state: int) -> Iterator[tuple[int, int]]:
+        """(item, place) where the words of a state end."""
+        low, high = self.low[state], self.high[state]
+        return zip(self.numbers[low:high], self.places[low:high], strict=True)
 
     def _state(self, length: int, link: int, following: dict[int, int]) -> int:
         self.next.append(following)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append([])
         return len(self.length) - 1
 
     def _split(self, state: int, word: int, target: int) -> int:
@@ -76,8 +111,8 @@ class Automaton:
             self.link[new] = target if self.length[target] == self.length[state] + 1 else self._split(state, word, target)
         return new
 
-    def matches(self, text: list[int], seed: int) -> Iterator[tuple[int, int, int]]:
-        """(place in text, longest match that ends there, state whose places end with the last ``seed`` words)."""
+    def matches(self, text: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+        """(place in text, longest match that ends there, its state) of the matches of ``least`` words."""
         state, length = 0, 0
         following, link, lengths = self.next, self.link, self.length
         for place, word in enumerate(text):
@@ -86,11 +121,8 @@ class Automaton:
                 length = lengths[state]
             if word in following[state]:
                 state, length = following[state][word], length + 1
-            if length >= seed:
-                short = state
-                while lengths[link[short]] >= seed:
-                    short = link[short]
-                yield place, length, short
+            if length >= least:
+                yield place, length, state
 
 
 def aligned(items: list[np.ndarray], texts: list[np.ndarray], band: int, min_words: int, per_edit: int) -> np.ndarray:
@@ -142,96 +174,216 @@ class Finder:
         self.numbers: dict[str, int] = {}
         self.ids = [i for i, _ in items]
         self.items = [[self.numbers.setdefault(w, len(self.numbers)) for w in words(t)] for _, t in items]
-        self.automaton = Automaton(self.items)
-
-    def runs(self, read: list[int]) -> Iterator[tuple[int, int, int, int]]:
-        """Unbroken runs of at least ``seed`` words: (item number, diagonal, first and last place in the item)."""
+        # what has too few words for a case is not looked for
+        self.automaton = Automaton([i if len(i) >= min_words else [] for i in self.items], self.seed, min_words)
+        self._known: dict[int, dict[int, list[int]]] = {}
+
+    def _places(self, state: int) -> dict[int, list[int]]:
+        """The places of a state by item; kept, since the states asked for (tops of one length) share no places."""
+        known = self._known.get(state)
+        if known is None:
+            known = self._known[state] = {}
+            for number, place in self.automaton.ends(state):
+                known.setdefault(number, []).append(place)
+        return known
+
+    def whole(self, matches: list[tuple[int, int, int]]) -> set[int]:
+        """The items of which ``min_words`` words stand unbroken."""
+        top = self.automaton.tops[self.min_words]
+        return set().union(*(self._places(s) for s in {top[state] for _, length, state in matches if length >= self.min_words}))
+
+    def runs(self, matches: list[tuple[int, int, int]], known: set[int] | frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, int]]:
+        """Unbroken runs of at least ``seed`` words, but for ``known`` items: (item number, diagonal, first and last place in the item)."""
         open_runs: dict[tuple[int, int], list[int]] = {}
-        for place, _, state in self.automaton.matches(read, self.seed):
-            for number, end in self.automaton.ends[state]:
-                key = (number, place - end)
-                run = open_runs.get(key)
-                if run is not None and run[1] == end - 1:
-                    run[1] = end
-                else:
-                    if run is not None:
-                        yield (*key, *run)
-                    open_runs[key] = [end - self.seed + 1, end]
+        top = self.automaton.tops[self.seed]
+        for place, _, state in matches:
+            for number, ends in self._places(top[state]).items():
+                if number in known:
+                    continue
+                for end in ends:
+                    key = (number, place - end)
+                    run = open_runs.get(key)
+                    if run is not None and run[1] == end - 1:
+                        run[1] = end
+                    else:
+                        if run is not None:
+                            yield (*key, *run)
+                        open_runs[key] = [end - self.seed + 1, end]
         for key, run in open_runs.items():
             yield (*key, *run)
 
+    def _read(self, text: str | None) -> tuple[list[int], list[tuple[int, int, int]]]:
+        read = [self.numbers.get(w, -1) for w in words(text)]
+        return read, list(self.automaton.matches(read, self.seed))
+
     def found(self, texts: list[str | None]) -> list[list[int]]:
         """Item ids that each text gives away, in the order of the items."""
-        hits: list[set[int]] = [set() for _ in texts]
-        checks: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        for k, text in enumerate(texts):
-            read = [self.numbers.get(w, -1) for w in words(text)]
-            runs = list(self.runs(read))
-            hits[k].update(n for n, _, first, last in runs if last - first + 1 >= self.min_words)
-            for number, diagonal, first, last in runs:
-                if number in hits[k]:
-                    continue
-                item = self.items[number]
-                start, stop = max(0, last - self.reach), min(len(item), first + self.reach + 1)
-                if stop - start < self.min_words:
-                    continue
-                at = start + diagonal - self.band
-                around = [-2] * max(0, -at) + read[max(0, at) : stop + diagonal + self.band]
-                checks.append((k, number, np.asarray(item[start:stop], np.int32), np.asarray(around, np.int32)))
-            if len(checks) > 1_500:
-                self._check(checks, hits)
-                checks.clear()
-        self._check(checks, hits)
+        hits, runs, reads = [], [], []
+        for text in texts:
+            read, matches = self._read(text)
+            hits.append(self.whole(matches))
+            runs.append(list(self.runs(matches, hits[-1])))
+            reads.append(read if runs[-1] else None)
+        for (k, number, *_), yes in self._checked(runs, reads):
+            if yes:
+                hits[k].add(number)
         return [[self.ids[n] for n in sorted(h)] for h in hits]
 
-    def _check(self, checks: list, hits: list[set[int]]) -> None:
-        if checks:
-            good = aligned([c[2] for c in checks], [c[3] for c in checks], self.band, self.min_words, self.per_edit)
-            for (k, number, _, _), yes in zip(checks, good, strict=True):
-                if yes:
-                    hits[k].add(number)
+    def spans(self, texts: list[str | None]) -> list[list[tuple]]:
+        """(item id, first word, last word, share of the item's words) of each passage that a text holds.
+
+        A passage reaches from its first to its last run of ``seed`` words; those of an item that are less than
+        2 * min_words words apart are one.
+        """
+        reads, runs = [], []
+        for text in texts:
+            read, matches = self._read(text)
+            reads.append(read)
+            runs.append(list(self.runs(matches)))
+        good: list[dict[int, list]] = [{} for _ in texts]
+        for (k, number, diagonal, first, last), yes in self._checked(runs, reads):
+            if yes:
+                good[k].setdefault(number, []).append((first + diagonal, last + diagonal, first, last))
+        return [[span for number in sorted(own) for span in self._joined(number, sorted(own[number]))] for own in good]
+
+    def _joined(self, number: int, runs: list[tuple[int, int, int, int]]) -> Iterator[tuple]:
+        groups: list[list] = []
+        for run in runs:
+            if groups and run[0] - groups[-1][1] <= self.reach:
+                groups[-1][1] = max(groups[-1][1], run[1])
+                groups[-1][2].append(run)
+            else:
+                groups.append([run[0], run[1], [run]])
+        for low, high, members in groups:
+            covered, upto = 0, -1
+            for first, last in sorted(m[2:] for m in members):
+                covered, upto = covered + max(0, last - max(first - 1, upto)), max(upto, last)
+            yield self.ids[number], low, high, covered / len(self.items[number])
+
+    def _checked(self, runs: list[list[tuple[int, int, int, int]]], reads: list[list[int] | None]) -> Iterator[tuple[tuple, bool]]:
+        """((text, item, diagonal, first, last), whether it belongs to a passage) of all runs."""
+        asked: list[tuple] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def answers() -> Iterator[tuple[tuple, bool]]:
+            if pairs:
+                good = aligned([p[0] for p in pairs], [p[1] for p in pairs], self.band, self.min_words, self.per_edit)
+                yield from zip(asked, good, strict=True)
+                asked.clear()
+                pairs.clear()
+
+        for k, own in enumerate(runs):
+            for run in own:
+                number, diagonal, first, last = run
+                item = self.items[number]
+                start, stop = max(0, last - self.reach), min(len(item), first + self.reach + 1)
+                if last - first + 1 >= self.min_words:
+                    yield (k, *run), True
+                elif stop - start < self.min_words:
+                    yield (k, *run), False
+                else:
+                    at = start + diagonal - self.band
+                    around = [-2] * max(0, -at) + reads[k][max(0, at) : stop + diagonal + self.band]
+                    asked.append((k, *run))
+                    pairs.append((np.asarray(item[start:stop], np.int32), np.asarray(around, np.int32)))
+                    if len(pairs) > 1_500:
+                        yield from answers()
+        yield from answers()
+
+
+def _passes(items: DataFrame, item_id: str, most_words: int, most_bytes: int) -> list[list[tuple]]:
+    """The items in groups of at most so many words and bytes; a larger item is a group of its own."""
+    passes, n_words, n_bytes = [[]], 0, 0
+    for row in items.select(item_id, "text").filter("text IS NOT NULL").orderBy(item_id).toLocalIterator():
+        own, size = len(words(row.text)), len(row.text.encode("utf-8", "replace"))
+        if passes[-1] and (n_words + own > most_words or n_bytes + size > most_bytes):
+            passes.append([])
+            n_words = n_bytes = 0
+        n_words, n_bytes = n_words + own, n_bytes + size
+        passes[-1].append((row[0], row.text))
+    return passes
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
-    """(doc_id, item_id) of every document that holds a passage of an item, each once.
+def _over_documents(documents: DataFrame, items: DataFrame, doc_id: str, item_id: str, columns: list[tuple[str, str, pa.DataType]], look, most_words: int, most_bytes: int) -> DataFrame:
+    """(doc_id, item_id, columns): what ``look`` (finder, texts) finds in each document.
 
-    The items (held-out tests, not the corpus) come to the driver; their automaton is built once per
-    Python worker from the broadcast texts.  Items beyond ``max_item_words`` words go in several passes,
-    whose results are united.  Items with less than MIN_WORDS words can't be given away; null texts match nothing.
+    The items (held-out tests, not the corpus) come to the driver; their automaton is built once per Python worker
+    from the broadcast texts.  The results of several passes are united.
     """
     spark = documents.sparkSession
     document_batches(spark)
-    passes, size = [[]], 0
-    for row in items.select(item_id, "text").filter("text IS NOT NULL").orderBy(item_id).toLocalIterator():
-        size += row.text.count(" ") + 1
-        if size > max_item_words and passes[-1]:
-            passes.append([])
-            size = row.text.count(" ") + 1
-        passes[-1].append((row[0], row.text))
     doc_kind, item_kind = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType
-    arrow_kind = to_arrow_type(item_kind)
+    kinds = [to_arrow_type(item_kind), *[k for _, _, k in columns]]
+    schema = ", ".join([f"`{doc_id}` {doc_kind}", f"`{item_id}` {item_kind.simpleString()}", *[f"{n} {k}" for n, k, _ in columns]])
+    names = [doc_id, item_id, *[n for n, _, _ in columns]]
 
-    def one(share: list[tuple[int, str]]) -> DataFrame:
+    def one(share: list[tuple]) -> DataFrame:
         sent = spark.sparkContext.broadcast(share)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = None
             for batch in batches:
                 finder = finder or Finder(sent.value)
-                take, ids = [], []
-                for i, given in enumerate(finder.found(batch.column(1).to_pylist())):
+                take, rows = [], []
+                for i, given in enumerate(look(finder, batch.column(1).to_pylist())):
                     take += [i] * len(given)
-                    ids += given
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(ids, arrow_kind)], names=[doc_id, item_id])
+                    rows += given
+                cells = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *[pa.array(c, k) for c, k in zip(cells, kinds, strict=True)]], names=names)
 
-        return documents.select(doc_id, "text").mapInArrow(run, f"`{doc_id}` {doc_kind}, `{item_id}` {item_kind.simpleString()}")
+        return documents.select(doc_id, "text").mapInArrow(run, schema)
 
-    result = one(passes[0])
-    for share in passes[1:]:
-        result = result.unionByName(one(share))
+    result = None
+    for share in _passes(items, item_id, most_words, most_bytes):
+        found = one(share)
+        result = found if result is None else result.unionByName(found)
     return result.distinct()
 
 
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", max_item_words: int = MAX_ITEM_WORDS, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """(doc_id, item_id) of every document that holds a passage of an item, each once.
+
+    Items with less than MIN_WORDS words can't be given away; null texts match nothing.
+    """
+    look = lambda finder, texts: [[(i,) for i in given] for given in finder.found(texts)]
+    return _over_documents(documents, items, doc_id, item_id, [], look, max_item_words, max_item_bytes)
+
+
+def leak_spans(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", max_item_words: int = MAX_ITEM_WORDS, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """(doc_id, item_id, start, stop, n_words, coverage) of every passage: characters of the text from 0, stop after the last;
+    the text's words between them, and the share of the item's words that its unbroken runs cover.
+
+    The same documents and items as in ``leaks``.
+    """
+    def look(finder: Finder, texts: list[str | None]) -> list[list[tuple]]:
+        out = []
+        for text, found in zip(texts, finder.spans(texts), strict=True):
+            places = word_places(text) if found else []
+            out.append([(i, places[low][1], places[high][2], high - low + 1, share) for i, low, high, share in found])
+        return out
+
+    columns = [("start", "int", pa.int32()), ("stop", "int", pa.int32()), ("n_words", "int", pa.int32()), ("coverage", "double", pa.float64())]
+    return _over_documents(documents, items, doc_id, item_id, columns, look, max_item_words, max_item_bytes)
+
+
+def without_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", least_words: int = MIN_WORDS, least_coverage: float = 0.8) -> DataFrame:
+    """(doc_id, text, n_spans, removed): every document without the passages of ``least_words`` words or more, or that cover
+    ``least_coverage`` of an item; ``removed`` counts characters.
+
+    Only spans move; a document without any stays as it is, null texts too.  Equal doc_ids are taken to have equal texts.
+    """
+    spans = leak_spans(documents, items, doc_id, item_id).filter((F.col("n_words") >= least_words) | (F.col("coverage") >= least_coverage))
+    by_text = spans.groupBy(F.col(doc_id).alias("_doc")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
+    joined = documents.select(doc_id, "text").join(by_text, F.col(doc_id) == F.col("_doc"), "left")
+    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("kept"))
+    step = lambda done, s: F.struct(
+        F.greatest(done["at"], s["stop"]).alias("at"), F.concat(done["kept"], F.substring("text", done["at"] + 1, F.greatest(F.lit(0), s["start"] - done["at"]))).alias("kept"))
+    cleaned = F.aggregate("_spans", none, step, lambda done: F.concat(done["kept"], F.substring("text", done["at"] + 1, F.length("text"))))
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cleaned)
+    out = joined.select(doc_id, text.alias("_text"), "text", F.coalesce(F.size("_spans"), F.lit(0)).alias("n_spans"))
+    return out.select(doc_id, F.col("_text").alias("text"), "n_spans", F.coalesce(F.length("text") - F.length("_text"), F.lit(0)).alias("removed"))
+
+
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Per item: the documents that give it away, 0 for those that none does."""
     counted = leaks(documents, items).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"))

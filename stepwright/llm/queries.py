@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stepwright.llm import encode, leaks, overlap, pieces, residue, splits, survivors
 from stepwright.session import table
@@ -58,6 +59,16 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The passages of test items that documents hold, with their places."""
+    return leaks.leak_spans(table(spark, sf, "documents"), table(spark, sf, "eval_items")).withColumn("coverage", F.round("coverage", 6))
+
+
+def p8_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents without such passages."""
+    return leaks.without_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per test item, the number of documents that give it away."""
     return leaks.leak_report(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
@@ -75,7 +86,7 @@ def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_assign": p3_assign, "p5_found": p5_found, "p5_survivors": p5_survivors,
-    "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_kept": p9_kept,
+    "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p8_cleaned": p8_cleaned, "p8_report": p8_report, "p9_found": p9_found, "p9_kept": p9_kept,
 }
 
 _BARE = "nullif(regexp_replace({}, '[\\s\\p{{Z}}]+', '', 'g'), '')"

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
-_TAGS = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.{0,2000}?-->|&(?:[a-zA-Z]{2,8}|#\d{1,6});", re.S)
+# a tag may go over lines but not over a blank one; a tag or comment ends where the next one begins, so that none is read twice
+_TAGS = re.compile(r"</?[a-zA-Z][^<>\n]*+(?:\n(?!\s*\n)[^<>\n]*+)*+>|<!--(?:(?!<!--).)*?-->|&(?:[a-zA-Z]{2,8}|#\d{1,6});", re.S)
 _LINKS = re.compile(r"\]\(")
 _SPACE = re.compile(r"\s+")
 _OTHER = re.compile(r"[\W_]+")
@@ -29,6 +30,18 @@ def words(text: str | None) -> list[str]:
     return [w for w in found if w]
 
 
+def word_places(text: str | None) -> list[tuple[str, int, int]]:
+    """The words of a text with where they begin and end in it; words of one stretch without white space share its place."""
+    if not text:
+        return []
+    blank = _TAGS.sub(lambda m: " " * len(m[0]), text).replace("](", "] ")
+    found = []
+    for m in re.finditer(r"\S+", blank):
+        part = unicodedata.normalize("NFKC", m[0]).lower()
+        found += [(w, m.start(), m.end()) for w in (_OTHER.sub("", p) for p in _SPACE.split(part)) if w]
+    return found
+
+
 def common_in_order(a: list, b: list, least: int) -> bool:
     """Whether the longest common subsequence has ``least`` words, by bit-parallel rows; ends as soon as it can't."""
     where: dict = {}
