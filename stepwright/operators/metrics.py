@@ -17,6 +17,8 @@ from stepwright.session import cut_lineage
 # The inner edges of ten equal bins as sums of doubles come out.
 EDGES = (0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9)
 EPS = 1e-7
+#: Ranks that are broadcast: a few megabytes.
+MOST_RANKS = 100_000
 DIGITS = 6
 
 
@@ -43,12 +45,22 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
     return sums.select(*by, (F.col("pos") + F.col("neg")).alias("n"), rounded(_ratio(F.col("won"), F.col("pos") * F.col("neg")), "auc"))
 
 
+def value_ranks(hist: DataFrame, value: str) -> DataFrame:
+    """(value, avg_rank) of the distinct values of ``hist`` (value, n): ranks from 1, ties share their mean."""
+    placed = sums_before(hist.select(value, "n"), value_bucket(hist, value), [value], {"before": "n"})
+    return placed.select(value, (F.col("before") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
+
+
 def average_ranks(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, value, avg_rank): ranks from 1, ties share their mean; the ordered pass is over distinct values."""
-    hist = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    placed = sums_before(hist, value_bucket(hist, value), [value], {"before": "n"})
-    ranks = placed.select(value, (F.col("before") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
-    return df.filter(F.col(value).isNotNull()).select(key, value).join(ranks, value).select(key, value, "avg_rank")
+    """(key, value, avg_rank): ranks from 1, ties share their mean; the ordered pass is over distinct values.
+
+    The ranks go to the rows as a broadcast as long as there are at most MOST_RANKS of them, so a value that most rows
+    have isn't gathered in one task; above that, values are spread by their number.
+    """
+    hist = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")))
+    ranks = value_ranks(hist, value)
+    few = F.broadcast(ranks) if hist.count() <= MOST_RANKS else ranks
+    return df.filter(F.col(value).isNotNull()).select(key, value).join(few, value).select(key, value, "avg_rank")
 
 
 def pr_auc(df: DataFrame, label: str, score: str, tie: str) -> DataFrame:
@@ -118,10 +130,16 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def spearman(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    a = average_ranks(pairs, key, x).select(key, F.col("avg_rank").alias("rx"))
-    b = average_ranks(pairs, key, y).select(key, F.col("avg_rank").alias("ry"))
-    return a.join(b, key).agg(rounded(pearson(F.col("rx"), F.col("ry")), "spearman"), F.count(F.lit(1)).alias("n"))
+    """Rank correlation from the histogram of the pairs (x, y): a row a distinct pair is ranked and weighs its count."""
+    pairs = cut_lineage(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("n")))
+    side = lambda c, rank: value_ranks(pairs.groupBy(c).agg(F.sum("n").alias("n")), c).select(c, F.col("avg_rank").alias(rank))
+    ranked = pairs.join(side("_x", "rx"), "_x").join(side("_y", "ry"), "_y")
+    w, rx, ry = F.col("n").cast("double"), F.col("rx"), F.col("ry")
+    mean = (F.sum("n") + 1) / 2.0  # of ranks from 1, whatever the ties are
+    sums = ranked.agg(F.sum("n").alias("n"), mean.alias("m"), F.sum(w * rx * ry).alias("xy"), F.sum(w * rx * rx).alias("xx"), F.sum(w * ry * ry).alias("yy"))
+    part = lambda c: F.col(c) - F.col("n") * F.col("m") * F.col("m")
+    flat = (F.col("n") < 2) | (part("xx") <= 0) | (part("yy") <= 0)
+    return sums.select(rounded(F.when(~flat, part("xy") / F.sqrt(part("xx") * part("yy"))), "spearman"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def sigmoid(z: Column) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stepwright.operators.steps import let
 
@@ -22,6 +21,8 @@ HEADER = r"^(\+\+\+|---)\s+(?:[ab]/)?(/dev/null|.+)$"
 HUNK = r"^@@[^@\n]*@@\s*(.*)$"
 CLASS = r"^\s*class\s+([A-Za-z_]\w*)\s*[:\(]"
 DEF = r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\("
+#: Lines of which the others say nothing: file headers, heads of hunks, and code that may open a class or function.
+TELLING = r"^(?:(?:\+\+\+|---)\s|@@|[-+ ]\s*(?:class|def|async)\s)"
 DIFF_MARKS = ("diff --git", "+++ ", "@@ ")
 
 _LOCATION = "array<struct<file:string,class_name:string,function_name:string>>"
@@ -130,13 +131,16 @@ def matched(preds: Column, golds: Column, weights: tuple[float, ...] = DEPTH_WEI
 
     found = F.filter(F.flatten(F.transform(preds, pairs)), lambda x: x["depth"] > 0)
     order = F.array_sort(F.transform(found, lambda x: F.struct((-_weight(x["depth"], weights)).alias("w"), (-x["depth"]).alias("d"), x["pred"].alias("pred"), x["gold"].alias("gold"), x["depth"].alias("depth"))))
-    start = F.array().cast("array<struct<depth:int,pred:int,gold:int>>")
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("preds"), none.alias("golds"), F.array().cast("array<struct<depth:int,pred:int,gold:int>>").alias("pairs"))
 
     def take(done: Column, x: Column) -> Column:
-        used = F.exists(done, lambda y: (y["pred"] == x["pred"]) | (y["gold"] == x["gold"]))
-        return F.when(used, done).otherwise(F.concat(done, F.array(F.struct(x["depth"].alias("depth"), x["pred"].alias("pred"), x["gold"].alias("gold")))))
+        used = F.array_contains(done["preds"], x["pred"]) | F.array_contains(done["golds"], x["gold"])
+        pair = F.struct(x["depth"].alias("depth"), x["pred"].alias("pred"), x["gold"].alias("gold"))
+        more = F.struct(F.array_append(done["preds"], x["pred"]).alias("preds"), F.array_append(done["golds"], x["gold"]).alias("golds"), F.array_append(done["pairs"], pair).alias("pairs"))
+        return F.when(used, done).otherwise(more)
 
-    return F.aggregate(order, start, take)
+    return F.aggregate(order, start, take, lambda done: done["pairs"])
 
 
 def layered(df: DataFrame, preds: str, golds: str, *, weights: tuple[float, ...] = DEPTH_WEIGHTS, threshold: float = THRESHOLD, strict: bool = True,
@@ -177,29 +181,46 @@ def exit_reward(df: DataFrame, exit_status: str, submission: str, gold: Column,
     return layered(ready, "_preds", "_golds", **options).withColumn("reason", reason).drop("_found", "_preds", "_golds")
 
 
-def diff_names(df: DataFrame, keys: list[str], patch: str) -> DataFrame:
-    """(keys, files, modules, entities) named by a git patch, as sorted lists.
+def patch_names(patch: Column) -> Column:
+    """files, modules and entities named by a git patch, as sorted lists.
 
-    Lines are exploded with their place; the file, and the class of the hunk so far, are the last ones
-    seen before a line.  A class given by a hunk's head or a line of it ends with the hunk.
+    The lines that can say something are read into events, and a fold carries the file and the class of the hunk so
+    far.  A class given by a hunk's head or a line of it ends with the hunk.
     """
-    lines = df.select(*keys, F.posexplode(F.split(F.coalesce(patch, F.lit("")), r"\r\n|\r|\n")).alias("pos", "line"))
-    mark, path = F.regexp_extract("line", HEADER, 1), F.trim(F.regexp_extract("line", HEADER, 2))
-    real = (mark != "") & (path != "/dev/null") & (path != "")
-    told = lines.withColumn("header", mark != "").withColumn("path", F.when(real, path)).withColumn("start", F.when(real & (mark == "+++"), path))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    told = told.withColumn("file", F.last("start", ignorenulls=True).over(w))
-    hunk, live = F.col("line").rlike(HUNK), ~F.col("header") & F.col("file").isNotNull()
-    context, body = F.regexp_extract("line", HUNK, 1), F.regexp_replace(F.substring("line", 2, 1_000_000), r"^\s+", "")
-    inside = F.col("line").rlike(r"^[-+ ].") & ~hunk
-    cls = F.when(hunk, F.regexp_extract(context, CLASS, 1)).when(inside & (F.regexp_extract(body, CLASS, 1) != ""), F.regexp_extract(body, CLASS, 1))
-    event = F.when(F.col("start").isNotNull(), F.lit("")).when(live, cls)
-    told = told.withColumn("class", F.nullif(F.last(event, ignorenulls=True).over(w), F.lit("")))
-    at_hunk = F.when(hunk & (F.regexp_extract(context, CLASS, 1) == ""), F.regexp_extract(context, DEF, 1))
-    at_line = F.when(inside & (F.regexp_extract(body, CLASS, 1) == ""), F.regexp_extract(body, DEF, 1))
-    func = F.when(live, F.nullif(F.coalesce(at_hunk, at_line), F.lit("")))
-    named = told.withColumn("func", func)
-    full = F.concat(F.col("file"), F.lit(":"), F.coalesce(F.col("class"), F.col("func")))
-    entity = F.concat(F.col("file"), F.lit(":"), F.concat_ws(".", "class", "func"))
-    names = lambda c: F.array_sort(F.collect_set(c))
-    return named.groupBy(*keys).agg(names(F.col("path")).alias("files"), names(F.when(F.col("func").isNotNull(), full)).alias("modules"), names(F.when(F.col("func").isNotNull(), entity)).alias("entities"))
+    lines = F.filter(F.split(F.coalesce(patch, F.lit("")), r"\r\n|\r|\n"), lambda x: x.rlike(TELLING))
+
+    def read(x: Column) -> Column:
+        hunk = x.rlike(HUNK)
+        inside = F.when(x.rlike(r"^[-+ ]."), F.regexp_replace(x, r"^.\s*", ""))
+        return F.struct(F.regexp_extract(x, HEADER, 1).alias("mark"), F.trim(F.regexp_extract(x, HEADER, 2)).alias("path"), hunk.alias("hunk"), F.when(hunk, F.regexp_extract(x, HUNK, 1)).otherwise(inside).alias("said"))
+
+    def event(x: Column) -> Column:
+        path = F.when((x["mark"] != "") & ~x["path"].isin("/dev/null", ""), x["path"])
+        cls = F.coalesce(F.regexp_extract(x["said"], CLASS, 1), F.lit(""))
+        func = F.when(cls == "", F.nullif(F.regexp_extract(x["said"], DEF, 1), F.lit("")))
+        return F.struct((x["mark"] != "").alias("header"), path.alias("path"), F.when(x["mark"] == "+++", path).alias("start"), x["hunk"].alias("hunk"), cls.alias("cls"), func.alias("func"))
+
+    def step(so_far: Column, x: Column) -> Column:
+        live = ~x["header"] & so_far["file"].isNotNull()
+        cls = F.when(x["start"].isNotNull(), F.lit(None)).when(live & (x["hunk"] | (x["cls"] != "")), F.nullif(x["cls"], F.lit(""))).otherwise(so_far["cls"])
+        named = F.struct(so_far["file"].alias("file"), cls.alias("cls"), x["func"].alias("func"))
+        found = F.when(live & x["func"].isNotNull(), F.concat(so_far["found"], F.array(named))).otherwise(so_far["found"])
+        return F.struct(F.coalesce(x["start"], so_far["file"]).alias("file"), cls.alias("cls"), found.alias("found"))
+
+    none = F.lit(None).cast("string")
+    start = F.struct(none.alias("file"), none.alias("cls"), F.array().cast("array<struct<file:string,cls:string,func:string>>").alias("found"))
+    names = lambda c: F.array_sort(F.array_distinct(c))
+
+    def result(events: Column) -> Column:
+        told = F.aggregate(events, start, step, lambda s: s["found"])
+        return F.struct(
+            names(F.filter(F.transform(events, lambda x: x["path"]), lambda x: x.isNotNull())).alias("files"),
+            names(F.transform(told, lambda x: F.concat(x["file"], F.lit(":"), F.coalesce(x["cls"], x["func"])))).alias("modules"),
+            names(F.transform(told, lambda x: F.concat(x["file"], F.lit(":"), F.concat_ws(".", x["cls"], x["func"])))).alias("entities"))
+
+    return let(F.transform(F.transform(lines, read), event), result)
+
+
+def diff_names(df: DataFrame, keys: list[str], patch: str) -> DataFrame:
+    """(keys, files, modules, entities) of each row's patch; nothing is shuffled."""
+    return df.select(*keys, patch_names(F.col(patch)).alias("_names")).select(*keys, "_names.files", "_names.modules", "_names.entities")

@@ -122,15 +122,16 @@ def bisect(sessions: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def consume(nodes: DataFrame, rollouts: DataFrame, trees: DataFrame, picked: DataFrame, expanded: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The state after the sessions of ``picked`` (instance_id, node_key, rollout_idx): the rollout is consumed, its node
-    visited once more, expanded nodes are in the pool, and a round is counted unless the root was revised."""
-    chosen = picked.select("instance_id", "node_key", "rollout_idx").withColumn("_hit", F.lit(True))
-    n = nodes.join(chosen.select("instance_id", "node_key", "_hit"), ["instance_id", "node_key"], "left").join(
-        expanded.select("instance_id", "node_key").distinct().withColumn("_new", F.lit(True)), ["instance_id", "node_key"], "left")
-    n = n.withColumn("visits", F.col("visits") + F.col("_hit").isNotNull().cast("int")).withColumn("in_pool", F.when(F.col("_new"), 1).otherwise(F.col("in_pool"))).drop("_hit", "_new")
-    r = rollouts.join(chosen, ["instance_id", "node_key", "rollout_idx"], "left").withColumn("is_consumed", F.when(F.col("_hit"), 1).otherwise(F.col("is_consumed"))).drop("_hit")
-    rounds = picked.filter("node_key <> 'root'").select("instance_id").distinct().withColumn("_round", F.lit(1))
-    t = trees.join(rounds, "instance_id", "left").withColumn("n_rounds", F.col("n_rounds") + F.coalesce("_round", F.lit(0))).drop("_round")
+    """The state after the sessions of ``picked`` (instance_id, node_key, rollout_idx; each once): the rollout is consumed, its node
+    visited once more, expanded nodes are in the pool, and a round is counted for each session that revised no root."""
+    node, slot = ["instance_id", "node_key"], ["instance_id", "node_key", "rollout_idx"]
+    chosen = picked.select(*slot).withColumn("_hit", F.lit(1))
+    more = chosen.groupBy(*node).agg(F.count(F.lit(1)).cast("int").alias("_more"))
+    n = nodes.join(more, node, "left").join(expanded.select(*node).distinct().withColumn("_new", F.lit(1)), node, "left")
+    n = n.withColumn("visits", F.col("visits") + F.coalesce("_more", F.lit(0))).withColumn("in_pool", F.coalesce("_new", "in_pool"))
+    r = rollouts.join(chosen, slot, "left").withColumn("is_consumed", F.coalesce("_hit", "is_consumed"))
+    rounds = picked.filter("node_key <> 'root'").groupBy("instance_id").agg(F.count(F.lit(1)).cast("int").alias("_rounds"))
+    t = trees.join(rounds, "instance_id", "left").withColumn("n_rounds", F.col("n_rounds") + F.coalesce("_rounds", F.lit(0)))
     return n.select(*nodes.columns), r.select(*rollouts.columns), t.select(*trees.columns)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepwright.operators import choose as C
@@ -53,20 +56,21 @@ def _insert(r):
 
 
 def _delete(t, n, r):
-    gone = t.filter("status <> 'done'")
-    left = K.delete_instances(gone, tree_instances=t, nodes=n, rollouts=r)
-    from stepwright.operators.mc import table_counts
-
-    return table_counts(**left)
+    """What is left of each table, as (table_name, key)."""
+    left = K.delete_instances(t.filter("status <> 'done'"), tree_instances=t, nodes=n, rollouts=r)
+    key = {"tree_instances": ["instance_id"], "nodes": ["instance_id", "node_key"], "rollouts": ["instance_id", "node_key", "rollout_idx"]}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in key[name]]).alias("key")) for name, df in left.items()])
 
 
 def _commit(t, n, r):
-    nodes, slots = _nodes(n), _slots(r)
+    """The rows of the three tables that a round of sessions changed, with their new values."""
+    nodes, slots, trees = _nodes(n), _slots(r), t.select("instance_id", "n_rounds")
     picked = G.qu_select(G.qu_scores(nodes, slots))
-    a, b, c = G.consume(nodes, slots, t.select("instance_id", "n_rounds"), picked, picked.filter("node_key <> 'root'"))
-    one = lambda df, name, *sums: df.agg(*[F.sum(F.col(s).cast("bigint")).alias(s) for s in sums])
-    sums = one(a, "nodes", "visits", "in_pool").withColumn("k", F.lit(1)).join(one(b, "rollouts", "is_consumed").withColumn("k", F.lit(1)), "k").join(one(c, "trees", "n_rounds").withColumn("k", F.lit(1)), "k")
-    return sums.drop("k")
+    a, b, c = G.consume(nodes, slots, trees, picked, picked.filter("node_key <> 'root'"))
+    row = lambda df, name, key, values: df.select(F.lit(name).alias("table_name"), F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("key"), F.concat_ws("|", *[F.col(v).cast("string") for v in values]).alias("state"))
+    parts = [("nodes", nodes, a, ["instance_id", "node_key"], ["visits", "in_pool"]), ("rollouts", slots, b, K.SLOT, ["is_consumed"]), ("tree_instances", trees, c, ["instance_id"], ["n_rounds"])]
+    changed = [row(new, name, key, values).join(row(old, name, key, values), ["table_name", "key", "state"], "left_anti") for name, old, new, key, values in parts]
+    return reduce(DataFrame.unionByName, changed)
 
 
 def _scores(r):
@@ -136,15 +140,16 @@ ORACLES = {
             UNION ALL SELECT session, CASE WHEN mc > 0 THEN pr ELSE confirmed END, CASE WHEN mc > 0 THEN span - span // 2 ELSE span // 2 END, pr, CASE WHEN mc > 0 THEN 'expanded' ELSE 'leaf' END
             FROM (SELECT *, confirmed + span // 2 AS pr, (('0x' || left(md5(session || ':' || (confirmed + span // 2)), 4))::INT % 6) / 5.0::DOUBLE AS mc FROM w WHERE span >= 2) WHERE mc < 1)
         SELECT session, probe, kind FROM w WHERE kind <> ''""",
-    "session_commit": f"""WITH {_QU} SELECT (SELECT sum(visits)::BIGINT FROM n) + (SELECT count(*) FROM best) AS visits,
-        (SELECT sum(CASE WHEN b.instance_id IS NOT NULL THEN 1 ELSE n.in_pool END)::BIGINT FROM n LEFT JOIN best b ON b.instance_id = n.instance_id AND b.node_key = n.node_key AND b.node_key <> 'root') AS in_pool,
-        (SELECT sum(is_consumed)::BIGINT FROM r) + (SELECT count(*) FROM best) AS is_consumed, (SELECT sum(n_rounds)::BIGINT FROM tree_instances) + (SELECT count(*) FROM best WHERE node_key <> 'root') AS n_rounds""",
+    "session_commit": f"""WITH {_QU} SELECT 'nodes' AS table_name, instance_id || '|' || node_key AS key, (visits + 1) || '|' || CASE WHEN node_key <> 'root' THEN 1 ELSE in_pool END AS state FROM n JOIN (SELECT instance_id, node_key FROM best) USING (instance_id, node_key)
+        UNION ALL SELECT 'rollouts', instance_id || '|' || node_key || '|' || rollout_idx, '1' FROM best
+        UNION ALL SELECT 'tree_instances', instance_id, (n_rounds + 1)::VARCHAR FROM tree_instances WHERE instance_id IN (SELECT instance_id FROM best WHERE node_key <> 'root')""",
     "upsert_merge": f"""WITH {_HALF} SELECT instance_id, node_key, rollout_idx, coalesce(old.is_consumed, new.is_consumed) AS is_consumed, round(CASE WHEN new.instance_id IS NOT NULL THEN new.reward ELSE old.reward END, 6) AS reward
         FROM old FULL JOIN new USING (instance_id, node_key, rollout_idx)""",
     "insert_ignore": f"""WITH {_HALF} SELECT instance_id, node_key, rollout_idx, is_consumed, false AS inserted FROM old UNION ALL
         SELECT instance_id, node_key, rollout_idx, is_consumed, true FROM new WHERE o = 0""",
-    "cascade_delete": """WITH g AS (SELECT instance_id FROM tree_instances WHERE status <> 'done') SELECT 'tree_instances' AS table_name, count(*) AS n FROM tree_instances WHERE instance_id NOT IN (SELECT * FROM g)
-        UNION ALL SELECT 'nodes', count(*) FROM nodes WHERE instance_id NOT IN (SELECT * FROM g) UNION ALL SELECT 'rollouts', count(*) FROM rollouts WHERE instance_id NOT IN (SELECT * FROM g)""",
+    "cascade_delete": """WITH g AS (SELECT instance_id FROM tree_instances WHERE status <> 'done') SELECT 'tree_instances' AS table_name, instance_id AS key FROM tree_instances WHERE instance_id NOT IN (SELECT * FROM g)
+        UNION ALL SELECT 'nodes', concat_ws('|', instance_id, node_key) FROM nodes WHERE instance_id NOT IN (SELECT * FROM g)
+        UNION ALL SELECT 'rollouts', concat_ws('|', instance_id, node_key, rollout_idx) FROM rollouts WHERE instance_id NOT IN (SELECT * FROM g)""",
     "rollout_aggs": f"WITH {_SCORES} SELECT * FROM ag",
     "cap_candidates": f"WITH {_B} SELECT instance_id, rollout_idx FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY rollout_idx) AS rn FROM r WHERE node_key = 'root') WHERE rn <= 3",
     "selectors": f"WITH {_SCORES} SELECT instance_id, selector, rollout_idx, round(reward, 6) AS reward, correct FROM se",

@@ -1,19 +1,19 @@
 """Rollouts as a stream: rates per node, repeated deliveries, and a ledger that consumes each slot once.
 
 The streams here can run forever; ``drain`` runs one over what is there and returns the table it wrote.
+State is kept by slot or node, never by instance: a few instances hold most rollouts.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from stepwright.operators import search as G
+from stepwright.session import shared_folder
 
 SLOT = ["instance_id", "node_key", "rollout_idx"]
 
@@ -43,28 +43,18 @@ def arrivals(rollouts: DataFrame, width: str = "1 day", delay: str = "10 days")
     return timed.groupBy(F.window("at", width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("correct") == 1).alias("n_correct")).select(F.col("w.start").alias("start"), "n", "n_correct")
 
 
-LEDGER_SCHEMA = "instance_id string, n_slots bigint, n_repeats bigint, n_consumed bigint"
-
-
-def ledger(rollouts: DataFrame, idle: str | None = None) -> DataFrame:
-    """Per instance, slots seen once, repeated deliveries and slots consumed, kept in state across batches.
+def ledger(rollouts: DataFrame) -> DataFrame:
+    """Each slot with its deliveries and whether it was consumed, for update mode; a slot once consumed stays so, whatever arrives later.
 
-    The state of an instance is a map of slot to consumed: as large as the instance's slots, which a tree's
-    round cap bounds.  A slot once consumed stays so, whatever arrives later.
+    The state of a slot is two numbers, so an instance with most of the rows is spread like any others.
     """
-    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (names, flags, repeats) = state.get if state.exists else ([], [], 0)
-        seen = dict(zip(names, flags, strict=True))
-        for pdf in batches:
-            for node, idx, consumed in zip(pdf["node_key"], pdf["rollout_idx"], pdf["is_consumed"], strict=True):
-                slot = f"{node}|{idx}"
-                repeats += slot in seen
-                seen[slot] = max(seen.get(slot, 0), int(consumed or 0))
-        state.update((list(seen), list(seen.values()), int(repeats)))
-        yield pd.DataFrame({"instance_id": [key[0]], "n_slots": [len(seen)], "n_repeats": [int(repeats)], "n_consumed": [sum(v > 0 for v in seen.values())]})
+    return rollouts.groupBy(*SLOT).agg(F.count(F.lit(1)).alias("n_deliveries"), F.max(F.coalesce("is_consumed", F.lit(0))).alias("consumed"))
 
-    slim = rollouts.select("instance_id", "node_key", "rollout_idx", "is_consumed")
-    return slim.groupBy("instance_id").applyInPandasWithState(step, LEDGER_SCHEMA, "names array<string>, flags array<int>, repeats bigint", "update", GroupStateTimeout.NoTimeout)
+
+def ledger_totals(slots: DataFrame) -> DataFrame:
+    """Per instance, slots, repeated deliveries and slots consumed, of the slots' last states."""
+    return slots.groupBy("instance_id").agg(
+        F.count(F.lit(1)).alias("n_slots"), F.sum(F.col("n_deliveries") - 1).alias("n_repeats"), F.count_if(F.col("consumed") > 0).alias("n_consumed"))
 
 
 def drain(stream: DataFrame, mode: str, latest_by: list[str] | None = None) -> DataFrame:
@@ -74,16 +64,13 @@ def drain(stream: DataFrame, mode: str, latest_by: list[str] | None = None) -> D
     itself; of an updating stream, the last version of each key counts.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stepwright-stream-')}"
-    base = os.path.join(shared, f"stream-{uuid.uuid4().hex}")
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(df: DataFrame, number: int) -> None:
         df.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(-1)).write.mode("overwrite").parquet(f"{base}/out/batch=-1")
-    writer: Callable = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(write)
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
+    run_to_end(stream, mode, f"{base}/state", write)
     out = spark.read.parquet(f"{base}/out").drop("batch")
     if mode == "complete":
         last = out.agg(F.max("_batch")).first()[0]
@@ -92,3 +79,52 @@ def drain(stream: DataFrame, mode: str, latest_by: list[str] | None = None) -> D
         rest = [c for c in stream.columns if c not in latest_by]
         return out.groupBy(*latest_by).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*latest_by, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*stream.columns)
     return out.drop("_batch")
+
+
+def run_to_end(stream: DataFrame, mode: str, state: str, write: Callable[[DataFrame, int], None]) -> None:
+    """All that is there now, batch by batch; ``state`` is the folder of the stream's checkpoints."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def commit_sessions(picked: DataFrame, nodes: DataFrame, slots: DataFrame, trees: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three state tables after a stream of finished sessions (instance_id, node_key, rollout_idx).
+
+    Each micro-batch is one commit: its three tables are written as a new version, and the version counts from the
+    moment its mark is there, so a batch that fails leaves the last version as it was and is run again from it.
+    A slot that is consumed already, or delivered twice in a batch, changes nothing; whatever node was
+    revised is in the pool, but for the root.
+    """
+    spark = picked.sparkSession
+    base = f"{shared_folder(spark)}/commits-{uuid.uuid4().hex}"
+    names = ("nodes", "slots", "trees")
+    for name, df in zip(names, (nodes, slots, trees), strict=True):
+        df.write.parquet(f"{base}/v-1/{name}")
+    _mark(spark, f"{base}/done", -1)
+
+    def commit(batch: DataFrame, number: int) -> None:
+        last = max(v for v in _marked(spark, f"{base}/done") if v < number)
+        n, s, t = (spark.read.parquet(f"{base}/v{last}/{name}") for name in names)
+        fresh = batch.dropDuplicates(SLOT).join(s.filter("is_consumed = 1").select(*SLOT), SLOT, "left_anti")
+        for name, df in zip(names, G.consume(n, s, t, fresh, fresh.filter("node_key <> 'root'")), strict=True):
+            df.write.mode("overwrite").parquet(f"{base}/v{number}/{name}")
+        _mark(spark, f"{base}/done", number)
+
+    run_to_end(picked, "append", f"{base}/state", commit)
+    last = max(_marked(spark, f"{base}/done"))
+    return tuple(spark.read.parquet(f"{base}/v{last}/{name}") for name in names)
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _mark(spark: SparkSession, folder: str, version: int) -> None:
+    system, path = _files(spark, f"{folder}/v{version}")
+    system.create(path, True).close()
+
+
+def _marked(spark: SparkSession, folder: str) -> list[int]:
+    system, path = _files(spark, folder)
+    return [int(s.getPath().getName()[1:]) for s in system.listStatus(path)]
