@@ -7,6 +7,8 @@ ordered buckets of it, so no task sees all samples nor all scores.  Undefined va
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,16 +32,18 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def score_histogram(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """Positives and negatives of each distinct score (per ``by``)."""
+def score_histogram(df: DataFrame, label: str, score: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Positives and negatives of each distinct score (per ``by``), each row counted ``weight`` times if given."""
+    w = F.lit(1) if weight is None else F.col(weight)
+    total = lambda hit: F.coalesce(F.sum(F.when(hit, w)), F.lit(0)).cast("bigint")
     return df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*(by or []), score).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+        total(F.col(label) == 1).alias("pos"), total(F.col(label) != 1).alias("neg"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Area under the ROC curve, ties counted half, one row per ``by``."""
     by = by or []
-    hist = score_histogram(df, label, score, by)
+    hist = score_histogram(df, label, score, by, weight)
     placed = sums_before(hist, value_bucket(hist, score), [score], {"below": "neg"}, by)
     sums = placed.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return sums.select(*by, (F.col("pos") + F.col("neg")).alias("n"), rounded(_ratio(F.col("won"), F.col("pos") * F.col("neg")), "auc"))
@@ -184,8 +188,8 @@ def summary(df: DataFrame, label: str, score: str, by: str, mc: str) -> DataFram
     return plain.join(roc_auc(df, label, score, [by]).select(by, "auc"), by, "left")
 
 
-def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 200, alpha: float = 0.05, seed: int = 42, by: list[str] | None = None) -> DataFrame:
-    """Percentile interval of the mean (per ``by``): each replicate weighs every row by a Poisson(1) number drawn from a hash.
+def replicates(key: str, n_boot: int, seed: int = 42) -> Column:
+    """The weights of a row in ``n_boot`` bootstrap replicates: Poisson(1) numbers drawn from a hash of its key.
 
     The weights make the resampling one aggregation of (rows x replicates) counters that combine on the map
     side; no row is drawn by position, so no global numbering is needed.
@@ -194,7 +198,19 @@ def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 200, alpha:
     draws = F.transform(F.sequence(F.lit(1), F.lit(n_boot)), lambda b: u(b))
     # The Poisson(1) distribution function at 0 to 6
     cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    weight = lambda x: sum(((x >= F.lit(c)).cast("int") for c in cdf), F.lit(0))
-    rows = df.filter(F.col(value).isNotNull()).select(*(by or []), value, F.posexplode(F.transform(draws, weight)).alias("b", "w")).filter("w > 0")
+    return F.transform(draws, lambda x: sum(((x >= F.lit(c)).cast("int") for c in cdf), F.lit(0)))
+
+
+def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 200, alpha: float = 0.05, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """Percentile interval of the mean (per ``by``) over ``replicates``."""
+    rows = df.filter(F.col(value).isNotNull()).select(*(by or []), value, F.posexplode(replicates(key, n_boot, seed)).alias("b", "w")).filter("w > 0")
     means = rows.groupBy(*(by or []), "b").agg((F.sum(F.col("w") * F.col(value).cast("double")) / F.sum("w")).alias("mean"))
     return means.groupBy(*(by or [])).agg(rounded(F.percentile("mean", F.lit(alpha / 2)), "low"), rounded(F.percentile("mean", F.lit(1 - alpha / 2)), "high"), F.count(F.lit(1)).alias("n_boot"))
+
+
+def bootstrap_metric(df: DataFrame, key: str, columns: list[str], metric: Callable[[DataFrame, str, list[str]], DataFrame], value: str, n_boot: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """Percentile interval of any metric that can weigh rows and be taken per group: ``metric`` gets rows (columns, w), the
+    name of the weight and the columns to group by, and gives one row a group with ``value``; undefined replicates don't count."""
+    rows = df.select(*columns, F.posexplode(replicates(key, n_boot, seed)).alias("b", "w")).filter("w > 0")
+    found = metric(rows, "w", ["b"]).filter(F.col(value).isNotNull())
+    return found.agg(rounded(F.percentile(value, F.lit(alpha / 2)), "low"), rounded(F.percentile(value, F.lit(1 - alpha / 2)), "high"), F.count(F.lit(1)).alias("n_boot"))

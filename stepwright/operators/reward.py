@@ -181,6 +181,20 @@ def exit_reward(df: DataFrame, exit_status: str, submission: str, gold: Column,
     return layered(ready, "_preds", "_golds", **options).withColumn("reason", reason).drop("_found", "_preds", "_golds")
 
 
+def unified_reward(df: DataFrame, exit_status: str, submission: str, gold: Column, mode: str = "layered", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """``df`` with reward, correct and reason by either way of scoring: layered, or independent (the mean F1 of files, modules and
+    entities). What isn't submitted, or has no valid locations, is 0 in both."""
+    if mode == "layered":
+        return exit_reward(df, exit_status, submission, gold, threshold=threshold, **options)
+    if mode != "independent":
+        raise ValueError(f"no such mode: {mode}")
+    found = df.withColumn("_found", locations(submission))
+    reason = F.when(~F.col(exit_status).eqNullSafe(F.lit("Submitted")), "not_submitted").when(F.col("_found").isNull(), "invalid_submission")
+    score = three_level(location_names(F.col("_found")), gold, (1 / 3, 1 / 3, 1 / 3))
+    out = found.withColumn("reason", reason).withColumn("reward", F.when(F.col("reason").isNull(), score).otherwise(0.0))
+    return out.withColumn("correct", F.col("reward") >= threshold).drop("_found")
+
+
 def patch_names(patch: Column) -> Column:
     """files, modules and entities named by a git patch, as sorted lists.
 

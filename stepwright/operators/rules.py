@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stepwright.operators.ordered import sums_before, value_bucket
+
 REQUIRED = ("instance_id", "repo", "problem_statement", "patch")
 
 # An instance id's characters, and the lines by which a git patch creates or deletes a file.
@@ -48,10 +50,16 @@ def repo_url(owner: Column, name: Column, host: str = "https://github.com") -> C
     return F.concat(F.lit(f"{host}/"), owner, F.lit("/"), name)
 
 
+def as_list(text: Column) -> Column:
+    """A list of texts from what stands in its place: JSON text of a list, one value, or nothing."""
+    none = F.array().cast("array<string>")
+    return F.when(text.isNull() | (F.trim(text) == ""), none).otherwise(F.coalesce(F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>")), F.array(text)))
+
+
 def gold_struct(gold: str) -> Column:
     """Gold JSON as sorted, distinct lists of files, modules and entities; null JSON is empty."""
     parsed = F.from_json(gold, "files array<string>, modules array<string>, entities array<string>")
-    side = lambda c: F.array_sort(F.array_distinct(F.coalesce(parsed[c], F.array().cast("array<string>")))).alias(c)
+    side = lambda c: F.array_sort(F.array_distinct(F.coalesce(parsed[c], as_list(F.get_json_object(gold, f"$.{c}"))))).alias(c)
     return F.struct(side("files"), side("modules"), side("entities"))
 
 
@@ -105,13 +113,11 @@ def filter_report(reasoned: DataFrame) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """min, max and the element at int(n * share) of the sorted values, from a histogram of the distinct ones."""
-    counts = values.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(column))  # a row for each distinct value only
-    ranked = counts.select(column, "n", upto.alias("upto"), total.alias("total"))
-    at = lambda s: F.min(F.when(F.col("upto") > F.floor(F.col("total") * F.lit(s)), F.col(column)))
-    return ranked.agg(F.min(column).alias("min"), *[at(s).alias(name) for name, s in shares.items()], F.max(column).alias("max"))
+    """min, max and the element at int(n * share) of the sorted values, and how many there are; from a histogram of the distinct ones."""
+    counts = values.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    ranked = sums_before(counts, value_bucket(counts, column), [column], {"before": "n"})
+    at = lambda s: F.min(F.when(F.col("before") + F.col("n") > F.floor(F.col("before_total") * F.lit(s)), F.col(column)))
+    return ranked.agg(F.min(column).alias("min"), *[at(s).alias(name) for name, s in shares.items()], F.max(column).alias("max"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_values"))
 
 
 def first_commits(df: DataFrame, order: str) -> DataFrame:

@@ -62,8 +62,8 @@ def node_samples(nodes: DataFrame, rollouts: DataFrame, splits: DataFrame, trees
     """
     live = trees.filter("status = 'done' AND messages_head_json IS NOT NULL").select("instance_id")
     placed = splits.filter("prm_split IS NOT NULL").select("instance_id", "repo", "prm_split").dropDuplicates(["instance_id"])
-    slim = nodes.withColumn("n_steps", n_steps()).withColumn("key_ok", key_matches()).select("instance_id", "node_key", "mc_score", "visits", "in_pool", "n_steps", "key_ok", "created_at")
-    latest = slim.groupBy("instance_id", "node_key").agg(F.max_by(F.struct("mc_score", "visits", "in_pool", "n_steps", "key_ok"), F.struct("created_at", "visits", "in_pool", "mc_score", "n_steps")).alias("r")).select("instance_id", "node_key", "r.*")
+    slim = nodes.withColumn("n_steps", n_steps()).withColumn("key_ok", key_matches()).select("instance_id", "node_key", "mc_score", "visits", "in_pool", "n_steps", "key_ok", "created_at", F.xxhash64("prefix_json").alias("prefix_hash"))
+    latest = slim.groupBy("instance_id", "node_key").agg(F.max_by(F.struct("mc_score", "visits", "in_pool", "n_steps", "key_ok", "prefix_hash"), F.struct("created_at", "visits", "in_pool", "mc_score", "n_steps", "prefix_hash")).alias("r")).select("instance_id", "node_key", "r.*")
     judged = M.eligibility(latest, M.mc_table(rollouts), F.col("n_steps"), F.col("key_ok"), min_rollouts).withColumnRenamed("n_steps", "steps")
     good = judged.filter("skip_reason IS NULL").join(live, "instance_id", "left_semi").join(placed, "instance_id")
     leaf = M.is_leaf("mc")
@@ -71,7 +71,7 @@ def node_samples(nodes: DataFrame, rollouts: DataFrame, splits: DataFrame, trees
     chain = F.when(F.col("step_index") == F.col("steps"), 0.0).otherwise(1.0)
     out = good.withColumn("step_index", F.explode(steps)).withColumn("label", F.when(leaf, chain).otherwise(mixed(F.col("mc"))))
     out = out.withColumn("label_source", F.when(leaf, "leaf_chain").otherwise("node_mc"))
-    return out.select("instance_id", "repo", "prm_split", "node_key", "step_index", "steps", "label", "label_source", "mc", "n", "visits", "in_pool")
+    return out.select("instance_id", "repo", "prm_split", "node_key", "step_index", "steps", "label", "label_source", "mc", "n", "visits", "in_pool", "prefix_hash")
 
 
 def dedupe(samples: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -95,12 +95,14 @@ def dedupe_stats(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def label_distribution(samples: DataFrame, split: str, label: str, hit: Column) -> DataFrame:
-    """Per split, also those without samples: count, share of positives, mean label."""
+    """Per split, also those without samples: count, in all and by source, share of positives, mean label."""
     spark = samples.sparkSession
     every = spark.createDataFrame([(s,) for s in ("train", "dev", "test")], f"{split} string")
-    found = samples.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("pos_rate"), F.avg(label).alias("mean_label"))
+    sources = [F.count_if(F.col("label_source") == s).alias(f"n_{s}") for s in PRIORITY]
+    found = samples.groupBy(split).agg(F.count(F.lit(1)).alias("n"), *sources, F.avg(hit.cast("double")).alias("pos_rate"), F.avg(label).alias("mean_label"))
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
-    return every.join(found, split, "left").select(split, F.coalesce("n", F.lit(0)).alias("n"), zero("pos_rate"), zero("mean_label"))
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return every.join(found, split, "left").select(split, *[count(c) for c in ("n", *[f"n_{s}" for s in PRIORITY])], zero("pos_rate"), zero("mean_label"))
 
 
 def class_weights(samples: DataFrame, label: str, cap: float = 4.0) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepwright.operators import choose as C
+
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
 #: Scorers by name; a scorer is made once a worker by its factory and then sees batches.
@@ -59,6 +61,27 @@ def score_or_skip(df: DataFrame, keys: list[str], text: str, scorer: str | Calla
     return scored.filter("score IS NOT NULL"), scored.agg(F.count_if(F.col("score").isNull()).alias("n_skipped"))
 
 
+def prefix_scores(rollouts: DataFrame, key: list[str], score_of: Callable[[DataFrame], DataFrame], most_steps: int = 32) -> DataFrame:
+    """(key, t from 0, p) of the first ``most_steps`` prefixes of each rollout (key, n_steps).
+
+    ``score_of`` gets a row a prefix (key, t) and gives it back with p, null where it can't be scored; those are left out.
+    """
+    steps = F.least(F.col("n_steps"), F.lit(most_steps))
+    prefixes = rollouts.filter("n_steps > 0").select(*key, F.explode(F.sequence(F.lit(0), steps - 1)).alias("t"))
+    return score_of(prefixes).filter("p IS NOT NULL").select(*key, "t", "p")
+
+
+def trajectory_frame(rollouts: DataFrame, key: list[str], score_of: Callable[[DataFrame], DataFrame], most_steps: int = 32, candidates: int = 5) -> DataFrame:
+    """One row a scored root rollout: its outcome, its scores in the order of steps, and their aggregates.
+
+    Of each instance the first ``candidates`` root rollouts by index count; longer rollouts by their first prefixes.
+    """
+    roots = C.cap(rollouts.filter("node_key = 'root'"), "instance_id", candidates)
+    scores = prefix_scores(roots, key, score_of, most_steps)
+    ordered = scores.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "p"))), lambda x: x["p"]).alias("scores"))  # at most most_steps
+    return roots.join(C.rollout_aggregates(scores, key), key).join(ordered, key)
+
+
 def scripted_rollouts(tasks: DataFrame, correct_rate: float = 0.5, fail_rate: float = 0.1, max_steps: int = 6, seed: int = 42) -> DataFrame:
     """Results of rollouts that nobody ran: each slot (instance_id, node_key, rollout_idx) has its own fixed outcome.
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stepwright.operators import mc as M
+from stepwright.operators import store as K
 from stepwright.operators.ordered import hex_bucket, sums_before
 from stepwright.session import cut_lineage
 
@@ -135,23 +137,72 @@ def consume(nodes: DataFrame, rollouts: DataFrame, trees: DataFrame, picked: Dat
     return n.select(*nodes.columns), r.select(*rollouts.columns), t.select(*trees.columns)
 
 
-def annotate(trees: DataFrame, nodes: DataFrame, rollouts: DataFrame, expand: Callable[[DataFrame], DataFrame], max_rounds: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+def annotate(trees: DataFrame, nodes: DataFrame, rollouts: DataFrame, expand: Callable[[DataFrame], DataFrame], max_rounds: int = 20, most_sessions: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The search loop: per round, every unfinished tree revises its best rollout once.
 
     ``expand`` gets the picked rollouts and gives the nodes (instance_id, node_key) that their sessions
     expanded, running whatever executor it needs.  Trees at ``max_rounds`` only revise their root.  The state
-    is written out after each round, so a lost executor costs that round only.
+    is written out after each round, so a lost executor costs that round only.  Each round consumes a rollout of every
+    tree that goes on, so it ends; ``most_sessions`` ends it sooner.
     """
-    for _ in range(max_rounds + 1):
-        running = trees.filter("status NOT IN ('done', 'failed')").select("instance_id", F.col("n_rounds").alias("_rounds"))
-        live = qu_scores(nodes, rollouts).join(running, "instance_id").filter((F.col("_rounds") < max_rounds) | (F.col("node_key") == "root"))
-        picked = cut_lineage(qu_select(live.drop("_rounds")))
+    turn = 0
+    while most_sessions is None or turn < most_sessions:
+        turn += 1
+        picked = cut_lineage(qu_select(_selectable(trees, nodes, rollouts, max_rounds)))
         if picked.isEmpty():
             break
         nodes, rollouts, trees = (cut_lineage(df) for df in consume(nodes, rollouts, trees, picked, expand(picked)))
     return trees, nodes, rollouts
 
 
+def resumed(trees: DataFrame, nodes: DataFrame, rollouts: DataFrame) -> DataFrame:
+    """The pool of every unfinished tree as it is taken up again: its root and pooled nodes with the rate of their rollouts
+    (mc over those with an outcome, 0 without any, null without rollouts), visits, and how many rollouts are consumed and open."""
+    live = trees.filter("status NOT IN ('done', 'failed')").select("instance_id").distinct()
+    rates = M.mc_valid(rollouts).join(
+        rollouts.groupBy(*M.KEYS).agg(F.count_if(F.col("is_consumed") == 1).alias("n_consumed"), F.count_if((F.col("is_consumed") == 0) & F.col("exit_status").isNotNull()).alias("n_open")), M.KEYS)
+    pool = nodes.filter((F.col("node_key") == "root") | (F.col("in_pool") == 1)).select(*M.KEYS, "visits").join(live, "instance_id")
+    return pool.join(rates, M.KEYS, "left").select(*M.KEYS, "visits", "mc", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_valid", "n_consumed", "n_open")])
+
+
+def _selectable(trees: DataFrame, nodes: DataFrame, rollouts: DataFrame, max_rounds: int) -> DataFrame:
+    """The scored rollouts that unfinished trees may still revise; trees at ``max_rounds`` only those of their root."""
+    running = trees.filter("status NOT IN ('done', 'failed')").select("instance_id", F.col("n_rounds").alias("_rounds"))
+    live = qu_scores(nodes, rollouts).join(running, "instance_id").filter((F.col("_rounds") < max_rounds) | (F.col("node_key") == "root"))
+    return live.drop("_rounds")
+
+
+def statuses(trees: DataFrame, nodes: DataFrame, rollouts: DataFrame, budget_left: bool, max_rounds: int = 20) -> DataFrame:
+    """(instance_id, status, n_rounds, root_mc) of each tree by what its rollouts say; finished trees keep their status."""
+    roots = M.mc_valid(rollouts.filter("node_key = 'root'")).select("instance_id", F.col("mc").alias("_mc"), "n_valid")
+    work = _selectable(trees, nodes, rollouts, max_rounds).select("instance_id").distinct().withColumn("_work", F.lit(True))
+    joined = trees.select("instance_id", "status", "n_rounds").join(roots, "instance_id", "left").join(work, "instance_id", "left")
+    valid = F.coalesce("n_valid", F.lit(0)) > 0
+    mc = F.when(valid, F.col("_mc"))
+    new = tree_transition(mc, valid, F.col("_work").isNotNull(), F.lit(budget_left))
+    return joined.select("instance_id", F.when(F.col("status").isin("done", "failed"), F.col("status")).otherwise(new).alias("status"), "n_rounds", mc.alias("root_mc"))
+
+
+def pipeline(trees: DataFrame, nodes: DataFrame, rollouts: DataFrame, execute: Callable[[DataFrame], DataFrame], expand: Callable[[DataFrame], DataFrame], n_slots: int = 5, budget: int | None = None,
+             max_rounds: int = 20, most_sessions: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All trees from where they stand to an end: done, failed, or budget_exhausted, from which another call goes on.
+
+    ``execute`` gets the missing slots (instance_id, node_key, rollout_idx) of the roots, ``budget`` of them at most, and gives rows
+    of ``rollouts`` (a slot that fails has none); ``expand`` is that of ``annotate``. Trees are
+    (instance_id, status, n_rounds), nodes as in ``qu_scores``. After ``most_sessions`` rounds of sessions, work that is left waits.
+    """
+    live = trees.filter("status NOT IN ('done', 'failed')").select("instance_id").distinct()
+    wanted = missing_slots(nodes.filter("node_key = 'root'").join(live, "instance_id"), rollouts, n_slots).withColumnRenamed("slot", "rollout_idx")
+    allowed = allocate(wanted.groupBy(*M.KEYS).agg(F.count(F.lit(1)).alias("n")), ["node_key"], budget)
+    place = F.row_number().over(Window.partitionBy(*M.KEYS).orderBy("rollout_idx"))  # n_slots at most
+    tasks = wanted.withColumn("_at", place).join(allowed, M.KEYS).filter("_at <= allowed").select(*M.KEYS, "rollout_idx")
+    rollouts = cut_lineage(K.upsert(rollouts, execute(cut_lineage(tasks))))
+    nodes = nodes.drop("mc_score").join(M.mc_valid(rollouts).select(*M.KEYS, F.col("mc").alias("mc_score")), M.KEYS, "left").select(*nodes.columns)
+    trees = cut_lineage(statuses(trees, nodes, rollouts, True, max_rounds))
+    done, nodes, rollouts = annotate(trees, cut_lineage(nodes), rollouts, expand, max_rounds, most_sessions)
+    return cut_lineage(statuses(done, nodes, rollouts, False, max_rounds)), nodes, rollouts
+
+
 def tree_transition(root_mc: Column, valid_root: Column, open_work: Column, budget_left: Column) -> Column:
     """The status of a tree: failed without a valid root rollout, exhausted if work is open but no budget left, done without work."""
     return F.when(~valid_root, "failed").when(open_work & ~budget_left, "budget_exhausted").when(open_work & root_mc.isNotNull(), "running").otherwise("done")

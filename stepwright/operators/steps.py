@@ -134,8 +134,15 @@ def prompt(system: str, context: Column, trajectory: Column, instruction: str) -
 
 
 def first_observations(df: DataFrame, key: str, messages: str = "messages") -> DataFrame:
-    """Calls with the first tool message of their step that bears their id: (key, step_index, call_id, answered)."""
+    """Calls with the first tool message of their step that bears their id: (key, step_index, call_id, answered, observation)."""
     steps = df.select(key, F.posexplode(split_steps(messages)).alias("s", "step"))
-    found = lambda c: F.exists(F.col("step.tail"), lambda m: (m["role"] == "tool") & (m["tool_call_id"] == c))
-    calls = steps.select(key, (F.col("s") + 1).alias("step_index"), F.explode(F.transform(F.col("step.assistant.tool_calls"), lambda c: F.struct(c["id"].alias("id"), F.coalesce(found(c["id"]), F.lit(False)).alias("answered")))).alias("c"))
-    return calls.select(key, "step_index", F.col("c.id").alias("call_id"), F.col("c.answered").alias("answered"))
+    found = lambda c: F.get(F.filter(F.col("step.tail"), lambda m: (m["role"] == "tool") & (m["tool_call_id"] == c)), F.lit(0))
+    calls = steps.select(key, (F.col("s") + 1).alias("step_index"), F.explode(F.transform(F.col("step.assistant.tool_calls"), lambda c: F.struct(c["id"].alias("id"), found(c["id"]).alias("answer")))).alias("c"))
+    return calls.select(key, "step_index", F.col("c.id").alias("call_id"), F.col("c.answer").isNotNull().alias("answered"), F.col("c.answer.content").alias("observation"))
+
+
+def exit_pair(messages: str | Column) -> Column:
+    """(exit_status, submission) in the extra of the last exit message, '' each where there is none."""
+    messages = F.col(messages) if isinstance(messages, str) else messages
+    last = lambda exits: F.when(F.size(exits) > 0, F.element_at(exits, -1)["extra"])
+    return let(last(F.filter(messages, lambda m: m["role"] == "exit")), lambda x: F.struct(*[F.coalesce(x[c], F.lit("")).alias(c) for c in ("exit_status", "submission")]))

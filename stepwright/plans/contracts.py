@@ -10,7 +10,7 @@ from stepwright.operators import scoring as Q
 from stepwright.operators import search as G
 from stepwright.operators import store as K
 from stepwright.plans.evaluation import _D, _auc, scored
-from stepwright.plans.tree_search import _MISSING, _SCORES, _root_candidates
+from stepwright.plans.tree_search import _MISSING
 from stepwright.session import table
 
 
@@ -39,10 +39,27 @@ def _failures(r):
 
 
 def _trajectory(r):
-    """Correlation of the rollouts' prefix scores with their rewards, on root rollouts, each by its first 32 steps."""
-    d = _root_candidates(r, 32).filter("n_scores IS NOT NULL")
+    """Correlation of the rollouts' aggregated scores with how they ended."""
     both = lambda c, y: M.rounded(M.pearson(F.col(c), F.col(y)), f"{c}_{y}")
-    return d.agg(F.count(F.lit(1)).alias("n"), *[both(c, y) for c in ("agg_mean", "agg_min", "agg_last") for y in ("reward", "correct")])
+    return _frame(r).agg(F.count(F.lit(1)).alias("n"), *[both(c, y) for c in _AGGS for y in _ENDS])
+
+
+_AGGS, _ENDS = ("agg_mean", "agg_min", "agg_last", "agg_discounted"), ("reward", "correct", "submitted")
+
+
+def _formula(prefixes):
+    """Scores that SQL can repeat."""
+    key = F.concat_ws(":", "instance_id", "node_key", F.col("rollout_idx").cast("string"), F.col("t").cast("string"))
+    return prefixes.withColumn("p", F.round(F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("double") / 65535.0, 3))
+
+
+def _frame(r, **limits):
+    slots = r.groupBy(*K.SLOT).agg(*[F.max(c).alias(c) for c in ("n_steps", "correct", "reward", "exit_status", "submitted")])
+    return Q.trajectory_frame(slots, K.SLOT, _formula, **limits)
+
+
+def _frame_rows(r, **limits):
+    return _frame(r, **limits).select("instance_id", "rollout_idx", F.round("reward", 6).alias("reward"), "correct", "submitted", "n_steps", "exit_status", *_AGGS, F.col("n_scores").alias("scored_steps"), F.array_join(F.transform("scores", lambda p: F.format_string("%.3f", p)), ",").alias("scores"))
 
 
 def _gap(d):
@@ -75,6 +92,8 @@ QUERIES = {
     "scripted_rollouts": _q(lambda n, r: Q.scripted_rollouts(G.missing_slots(n, r, 5).withColumnRenamed("slot", "rollout_idx")), "nodes", "rollouts"),
     "batch_scores": _q(lambda b: Q.score(b.select("row_id", F.col("sample_id").alias("t")), ["row_id"], "t"), "build_dataset"),
     "trajectory_eval": _q(_trajectory, "rollouts"),
+    "trajectory_frame": _q(_frame_rows, "rollouts"),
+    "trajectory_frame_short": _q(lambda r: _frame_rows(r, most_steps=2, candidates=3), "rollouts"),
     "auc_gap": _q(lambda b: _gap(scored(b)), "build_dataset"),
     "nearest_length": _q(_pick, "build_dataset"),
     "verdict_pick": _q(lambda b: _verdicts(scored(b)), "build_dataset"),
@@ -93,6 +112,16 @@ def _corr(x: str, y: str) -> str:
     return f"round(CASE WHEN NOT isnan(corr({x}::DOUBLE, {y}::DOUBLE)) THEN corr({x}::DOUBLE, {y}::DOUBLE) END, 6) AS {x}_{y}"
 
 
+def _frame_sql(steps: int, candidates: int) -> str:
+    """Root rollouts by slot, the first of each instance, with the scores of their first prefixes."""
+    p = "round(('0x' || left(md5(instance_id || ':' || node_key || ':' || rollout_idx || ':' || t), 4))::INT / 65535.0::DOUBLE, 3)"
+    return f"""sl AS (SELECT instance_id, node_key, rollout_idx, max(n_steps) AS n_steps, max(correct) AS correct, max(reward) AS reward, max(exit_status) AS exit_status, max(submitted) AS submitted FROM rollouts WHERE node_key = 'root' GROUP BY ALL),
+        ro AS (SELECT * FROM sl QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY rollout_idx) <= {candidates}),
+        pr AS (SELECT *, {p} AS p FROM (SELECT *, unnest(range(least(n_steps, {steps}))) AS t FROM ro WHERE n_steps > 0)),
+        fr AS (SELECT instance_id, node_key, rollout_idx, any_value(n_steps) AS n_steps, any_value(correct) AS correct, any_value(reward) AS reward, any_value(exit_status) AS exit_status, any_value(submitted) AS submitted, count(*) AS scored_steps,
+            round(avg(p), 6) AS agg_mean, round(min(p), 6) AS agg_min, round(arg_max(p, t), 6) AS agg_last, round(sum(pow(0.95, t) * p) / sum(pow(0.95, t)), 6) AS agg_discounted, string_agg(printf('%.3f', p), ',' ORDER BY t) AS scores FROM pr GROUP BY ALL)"""
+
+
 def _oracles():
     from stepwright.plans.tree_search import _HALF
 
@@ -107,7 +136,9 @@ def _oracles():
         "scripted_rollouts": f"""WITH {_MISSING}, x AS (SELECT instance_id, node_key, slot::INT AS rollout_idx, {u.format(1)} AS f, ({u.format(5)} < 0.5)::INT AS correct, (floor({u.format(9)} * 6) + 1)::INT AS n_steps FROM m)
             SELECT instance_id, node_key, rollout_idx, correct, correct::DOUBLE AS reward, n_steps, 'Submitted' AS exit_status FROM x WHERE f >= 0.1""",
         "batch_scores": "SELECT row_id, (('0x' || left(md5(coalesce(sample_id, '')), 4))::INT % 1000) / 1000.0::DOUBLE AS score FROM build_dataset",
-        "trajectory_eval": f"WITH {_SCORES} SELECT count(*) AS n, {', '.join(_corr(c, y) for c in ('agg_mean', 'agg_min', 'agg_last') for y in ('reward', 'correct'))} FROM ca WHERE n_scores <= 32",
+        "trajectory_eval": f"WITH {_frame_sql(32, 5)} SELECT count(*) AS n, {', '.join(_corr(c, y) for c in _AGGS for y in _ENDS)} FROM fr",
+        "trajectory_frame": f"WITH {_frame_sql(32, 5)} SELECT instance_id, rollout_idx, round(reward, 6) AS reward, correct, submitted, n_steps, exit_status, {', '.join(_AGGS)}, scored_steps, scores FROM fr",
+        "trajectory_frame_short": f"WITH {_frame_sql(2, 3)} SELECT instance_id, rollout_idx, round(reward, 6) AS reward, correct, submitted, n_steps, exit_status, {', '.join(_AGGS)}, scored_steps, scores FROM fr",
         "auc_gap": f"WITH {_D}, a AS ({_auc('label_source')}), b AS (SELECT max(auc) FILTER (label_source = 'node_mc') AS node_mc, max(auc) FILTER (label_source = 'leaf_chain') AS leaf_chain FROM a) SELECT *, round(node_mc - leaf_chain, 6) AS gap FROM b",
         "nearest_length": "SELECT t::INT AS target, (SELECT first(row_id ORDER BY abs(rendered_tokens - t), row_id) FROM build_dataset WHERE rendered_tokens > 0) AS row_id FROM (VALUES (100), (500), (1000)) v(t)",
         "verdict_pick": f"""WITH {_D}, w AS (SELECT y, 'as_is' AS pair, s AS v FROM d UNION ALL SELECT y, 'turned', 1 - s FROM d UNION ALL SELECT y, 'flat', 0.5 FROM d), a AS ({_auc('pair', 'w', 'v')})

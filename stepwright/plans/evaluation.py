@@ -51,6 +51,7 @@ QUERIES = {
     "relative_buckets": _q(lambda d: M.bucket_metrics(d, "y", "s", M.relative_bucket("step_index", "step_count"))),
     "length_buckets": _q(lambda d: M.bucket_metrics(d, "y", "s", M.length_bucket("rendered_tokens"))),
     "split_summary": _q(lambda d: M.summary(d, "y", "s", "split", "mc_score")),
+    "bootstrap_auc": _q(lambda d: M.bootstrap_metric(d, "row_id", ["y", "s"], lambda rows, w, by: M.roc_auc(rows, "y", "s", by, w), "auc", n_boot=20)),
     "bootstrap_ci": _q(lambda d: M.bootstrap_ci(d, "row_id", "s", n_boot=50)),
 }
 
@@ -96,6 +97,11 @@ ORACLES = {
     "length_buckets": _bucket("CASE WHEN rendered_tokens IS NULL THEN 'nan' WHEN rendered_tokens <= 4096 THEN '<=4K' WHEN rendered_tokens <= 8192 THEN '4-8K' WHEN rendered_tokens <= 12288 THEN '8-12K' WHEN rendered_tokens <= 16384 THEN '12-16K' ELSE '>16K' END"),
     "split_summary": f"""WITH {_D}, a AS ({_auc('split')}), p AS (SELECT split, count(*) AS n, {_BRIER} AS brier, round(avg(((s >= 0.5) = (y = 1))::INT), 6) AS accuracy, {_LOSS} AS log_loss,
         round(CASE WHEN NOT isnan(corr(mc_score::DOUBLE, s)) THEN corr(mc_score::DOUBLE, s) END, 6) AS mc_corr FROM d GROUP BY 1) SELECT p.*, a.auc FROM p LEFT JOIN a ON a.split = p.split""",
+    "bootstrap_auc": f"""WITH {_D}, r AS (SELECT b, y, s, ('0x' || left(md5('42:' || b || ':' || row_id), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d, range(1, 21) t(b)),
+        w AS (SELECT b, y, s, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119))} AS w FROM r),
+        h AS (SELECT b, s, coalesce(sum(w) FILTER (y = 1), 0) AS p, coalesce(sum(w) FILTER (y <> 1), 0) AS n FROM w WHERE w > 0 GROUP BY ALL),
+        a AS (SELECT b, p, n, p * (sum(n) OVER (PARTITION BY b ORDER BY s) - n / 2.0::DOUBLE) AS won FROM h), z AS (SELECT b, round(sum(won) / nullif(sum(p) * sum(n), 0), 6) AS auc FROM a GROUP BY 1)
+        SELECT round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high, count(auc) AS n_boot FROM z""",
     "bootstrap_ci": f"""WITH {_D}, r AS (SELECT b, s, ('0x' || left(md5('42:' || b || ':' || row_id), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d, range(1, 51) t(b)),
         w AS (SELECT b, s, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119))} AS w FROM r),
         m AS (SELECT b, sum(w * s) / sum(w) AS mean FROM w GROUP BY 1) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS n_boot FROM m""",

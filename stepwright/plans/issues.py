@@ -109,9 +109,9 @@ ORACLES = {
         count(DISTINCT repo) AS n_repos_original, count(DISTINCT repo) FILTER (drop_reason IS NULL) AS n_repos_kept FROM d""",
     "filter_counts": f"WITH {_REASONS} SELECT drop_reason, count(*) AS n FROM d WHERE drop_reason IS NOT NULL GROUP BY 1",
     "statement_stats": """WITH l AS (SELECT list_sort(list(length(coalesce(problem_statement, '')))) AS v FROM instances)
-        SELECT v[1] AS min, v[len(v) // 2 + 1] AS p50, v[floor(len(v) * 0.95)::INT + 1] AS p95, v[len(v)] AS max FROM l""",
+        SELECT v[1] AS min, v[len(v) // 2 + 1] AS p50, v[floor(len(v) * 0.95)::INT + 1] AS p95, v[len(v)] AS max, len(v) AS n_values FROM l""",
     "repo_distribution": """WITH l AS (SELECT list_sort(list(n)) AS v FROM (SELECT count(*) AS n FROM instances GROUP BY repo))
-        SELECT v[1] AS min, v[len(v) // 2 + 1] AS median, v[len(v)] AS max FROM l""",
+        SELECT v[1] AS min, v[len(v) // 2 + 1] AS median, v[len(v)] AS max, len(v) AS n_values FROM l""",
     "source_counts": "SELECT source, count(*) AS n FROM instances GROUP BY 1",
     "gold_typed": f"SELECT instance_id, source, array_to_string(f, '|') AS files, array_to_string(m, '|') AS modules, array_to_string(e, '|') AS entities FROM {_GOLD}",
     "gold_stats": f"""SELECT count(*) FILTER (len(f) > 0) AS n_with_files, count(*) FILTER (len(m) > 0) AS n_with_modules, count(*) FILTER (len(e) > 0) AS n_with_entities,

@@ -51,7 +51,15 @@ def _patch_f1(i):
     gold = i.groupBy("instance_id", "source").agg(F.max("gold").alias("gold"))
     both = named.join(gold, ["instance_id", "source"])
     said = F.struct("files", "modules", "entities")
-    return both.select("instance_id", "source", F.round(R.three_level(said, gold_struct("gold")), 6).alias("reward"))
+    blank = both.join(i.select("instance_id", "source", (F.coalesce(F.trim("patch"), F.lit("")) == "").alias("blank")).groupBy("instance_id", "source").agg(F.bool_and("blank").alias("blank")), ["instance_id", "source"])
+    return blank.select("instance_id", "source", F.round(R.three_level(said, gold_struct("gold")), 6).alias("reward"), F.when(F.col("blank"), "empty_patch").alias("reason"))
+
+
+def _unified(r, i):
+    """Both ways of scoring beside each other."""
+    scored = with_gold(r, i)
+    one = lambda mode: R.unified_reward(scored, "exit_status", "submission", gold_struct("gold"), mode).select(*KEYS, F.lit(mode).alias("mode"), "reason", F.round("reward", 6).alias("reward"), "correct")
+    return one("layered").filter("reason IS NULL OR reason IN ('not_submitted', 'invalid_submission')").unionByName(one("independent"))
 
 
 def _q(function, *tables):
@@ -62,6 +70,7 @@ QUERIES = {
     "locations_valid": _q(lambda r: submissions(r).select(*KEYS, F.size(R.locations("submission")).cast("bigint").alias("n"), R.submission_reason("submission").alias("refused")), "rollouts"),
     "layered_reward": _q(_layered, "rollouts", "instances"),
     "independent_reward": _q(_independent, "rollouts", "instances"),
+    "unified_reward": _q(_unified, "rollouts", "instances"),
     "gold_triples": _q(_triples, "instances"),
     "diff_locations": _q(_names, "instances"),
     "patch_reward": _q(_patch_f1, "instances"),
@@ -133,7 +142,15 @@ ORACLES = {
     "diff_locations": f"WITH {_DIFF} SELECT instance_id, source, array_to_string(files, '|') AS files, array_to_string(modules, '|') AS modules, array_to_string(entities, '|') AS entities FROM l",
     "patch_reward": f"""WITH {_DIFF}, k AS (SELECT instance_id, source, max(gold) AS gold FROM instances GROUP BY ALL), x AS (SELECT l.*, coalesce(json_extract_string(gold, '$.files[*]'), []) AS gf,
             coalesce(json_extract_string(gold, '$.modules[*]'), []) AS gm, coalesce(json_extract_string(gold, '$.entities[*]'), []) AS ge FROM l JOIN k ON l.instance_id = k.instance_id AND l.source IS NOT DISTINCT FROM k.source)
-        SELECT instance_id, source, round({_f1('files', 'gf')} + {_f1('modules', 'gm')} + {_f1('entities', 'ge')}, 6) AS reward FROM x""",
+        SELECT x.instance_id, x.source, round({_f1('files', 'gf')} + {_f1('modules', 'gm')} + {_f1('entities', 'ge')}, 6) AS reward, CASE WHEN blank THEN 'empty_patch' END AS reason
+        FROM x JOIN (SELECT instance_id, source, bool_and(coalesce(trim(patch), '') = '') AS blank FROM instances GROUP BY ALL) b ON b.instance_id = x.instance_id AND b.source IS NOT DISTINCT FROM x.source""",
     "diff_like": """SELECT instance_id, source, coalesce(contains(h, 'diff --git') OR contains(h, '+++ ') OR contains(h, '@@ '), false) AS diff_like FROM
         (SELECT instance_id, source, left(regexp_replace(patch, '^\\s+', ''), 2000) AS h FROM instances)""",
 }
+
+_LAYERED = ORACLES["layered_reward"].replace("0.05::DOUBLE", "0.0::DOUBLE")
+ORACLES["unified_reward"] = f"""SELECT instance_id, node_key, rollout_idx, is_consumed, 'layered' AS mode, reason, reward, correct FROM ({_LAYERED}) WHERE reason IS NULL OR reason IN ('not_submitted', 'invalid_submission')
+    UNION ALL SELECT instance_id, node_key, rollout_idx, is_consumed, 'independent', reason, reward, reward >= 0.6 FROM (
+        SELECT l.instance_id, l.node_key, l.rollout_idx, l.is_consumed, CASE WHEN l.reason IN ('not_submitted', 'invalid_submission') THEN l.reason END AS reason,
+            CASE WHEN l.reason IN ('not_submitted', 'invalid_submission') THEN 0.0 ELSE round(i.reward / 3, 6) END::DOUBLE AS reward
+        FROM ({_LAYERED}) l LEFT JOIN (SELECT DISTINCT * FROM ({ORACLES["independent_reward"]})) i USING (instance_id, node_key, rollout_idx, is_consumed))"""

@@ -93,7 +93,7 @@ QUERIES = {
     "rendered_tokens": _q(_rendered),
     "steps_round_trip": _q(_round_trip),
     "prompt_assembly": _q(_prompt),
-    "call_answers": _q(lambda b: S.first_observations(b, "row_id").filter("call_id IS NOT NULL")),
+    "call_answers": _q(lambda b: S.first_observations(b, "row_id").filter("call_id IS NOT NULL").withColumn("observation", F.md5("observation"))),
     "prefix_steps": _q(lambda n: n.select("instance_id", "node_key", D.n_steps().cast("bigint").alias("n_steps")), "nodes"),
     "node_labels": _q(_labels, "rollouts"),
     "node_eligibility_audit": _q(_eligibility, "nodes", "rollouts"),
@@ -154,8 +154,8 @@ def _oracles():
             t AS (SELECT row_id, count(*) AS n, string_agg(m.role || ':' || coalesce(m.content, ''), chr(10) ORDER BY pos) AS x FROM ({_M}) WHERE m.role IN ('assistant', 'tool', 'user') GROUP BY 1)
             SELECT row_id, n + 3 AS n, md5('system:Judge the last step.' || chr(10) || 'user:' || c || chr(10) || x || chr(10) || 'user:Was it right?') AS digest FROM t JOIN u USING (row_id)""",
         "call_answers": f"""WITH {_STEPS}, c AS (SELECT row_id, step_index, unnest(m.tool_calls).id AS call_id FROM st WHERE m.role = 'assistant'),
-            a AS (SELECT DISTINCT row_id, step_index, m.tool_call_id AS call_id FROM st WHERE m.role = 'tool')
-            SELECT c.row_id, c.step_index, c.call_id, a.call_id IS NOT NULL AS answered FROM c LEFT JOIN a USING (row_id, step_index, call_id) WHERE c.call_id IS NOT NULL""",
+            a AS (SELECT row_id, step_index, m.tool_call_id AS call_id, md5(first(m.content ORDER BY pos)) AS observation FROM st WHERE m.role = 'tool' GROUP BY ALL)
+            SELECT c.row_id, c.step_index, c.call_id, a.call_id IS NOT NULL AS answered, observation FROM c LEFT JOIN a USING (row_id, step_index, call_id) WHERE c.call_id IS NOT NULL""",
         "prefix_steps": f"SELECT instance_id, node_key, {_NS} AS n_steps FROM nodes",
         "node_labels": f"WITH {_MC} SELECT instance_id, node_key, (mc > 0.5)::INT AS label_binary, round(mc, 6) AS label_soft, round((mc > 0.5)::INT * 0.8 + mc * 0.2, 6) AS label FROM mc WHERE mc IS NOT NULL",
         "node_eligibility_audit": f"WITH {_MC} SELECT skip_reason, count(*) AS n FROM (SELECT {reason} AS skip_reason FROM (SELECT *, {_NS} AS steps FROM nodes) LEFT JOIN mc USING (instance_id, node_key)) GROUP BY 1",
@@ -172,7 +172,7 @@ def _oracles():
             UNION ALL SELECT instance_id, repo, prm_split, node_key, steps::INT, steps, round((mc > 0.5)::INT * 0.8 + mc * 0.2, 6), 'node_mc', round(mc, 6), n FROM g JOIN p USING (instance_id) WHERE NOT (node_key <> 'root' AND mc = 0)""",
         "sample_dedupe": f"WITH {_KEYED} SELECT row_id, instance_id, step_index, node_key, label_source FROM d WHERE rn = 1",
         "dedupe_stats": f"""WITH {_KEYED} SELECT label_source, count(*) AS before, count(*) FILTER (rn = 1) AS "after", count(*) FILTER (rn > 1) AS collisions FROM d WHERE label_source IS NOT NULL GROUP BY 1""",
-        "label_distribution": f"""WITH {_CLEAN} SELECT s.split, count(c.row_id) AS n, round(coalesce(avg((label_binary = 1)::INT), 0), 6) AS pos_rate, round(coalesce(avg(label::DOUBLE), 0), 6) AS mean_label
+        "label_distribution": f"""WITH {_CLEAN} SELECT s.split, count(c.row_id) AS n, count(*) FILTER (label_source = 'node_mc') AS n_node_mc, count(*) FILTER (label_source = 'leaf_chain') AS n_leaf_chain, round(coalesce(avg((label_binary = 1)::INT), 0), 6) AS pos_rate, round(coalesce(avg(label::DOUBLE), 0), 6) AS mean_label
             FROM (VALUES ('train'), ('dev'), ('test')) s(split) LEFT JOIN c ON c.split = s.split GROUP BY 1""",
         "class_weights": f"""WITH {_CLEAN} SELECT 1.0::DOUBLE AS w_pos, CASE WHEN count(label_binary) = 0 OR count(*) FILTER (label_binary = 0) = 0 THEN 1.0
             ELSE round(least(4.0, count(*) FILTER (label_binary = 1) / greatest(1, count(*) FILTER (label_binary = 0))), 6) END::DOUBLE AS w_neg FROM c WHERE split = 'train'""",

@@ -80,10 +80,19 @@ def _scores(r):
     return _slots(r).filter("n_steps > 0").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n_steps") - 1))).withColumn("p", F.round(p, 3))
 
 
-def _root_candidates(r, most_steps=None):
-    """Root rollouts with the aggregates of their prefixes, of the first ``most_steps`` if given."""
-    scores = _scores(r)
-    agg = C.rollout_aggregates(scores if most_steps is None else scores.filter(F.col("t") < most_steps), K.SLOT)
+def _resumed(t, n, r):
+    out = G.resumed(t.select("instance_id", "status"), _nodes(n), _slots(r))
+    return out.select("instance_id", "node_key", F.round("mc", 6).alias("mc"), "n_valid", "visits", "n_consumed", "n_open")
+
+
+def _statuses(t, n, r):
+    """What each tree is after its root's rollouts, by the state as it stands."""
+    return G.statuses(t.select("instance_id", "status", "n_rounds"), _nodes(n), _slots(r), budget_left=False).select("instance_id", "status", F.round("root_mc", 6).alias("root_mc"))
+
+
+def _root_candidates(r):
+    """Root rollouts with the aggregates of their prefixes."""
+    agg = C.rollout_aggregates(_scores(r), K.SLOT)
     return _slots(r).filter("node_key = 'root'").join(agg, K.SLOT, "left")
 
 
@@ -96,6 +105,8 @@ QUERIES = {
     "task_order": _q(lambda r: G.task_order(r.select(F.concat_ws("/", "instance_id", "node_key", F.col("rollout_idx").cast("string")).alias("task_id"), (F.col("node_key") != "root").cast("int").alias("priority"), F.col("created_at").alias("seq"))), "rollouts"),
     "bisect_trace": _q(_bisect, "rollouts"),
     "session_commit": _q(_commit, "tree_instances", "nodes", "rollouts"),
+    "resumed_pool": _q(_resumed, "tree_instances", "nodes", "rollouts"),
+    "tree_statuses": _q(_statuses, "tree_instances", "nodes", "rollouts"),
     "upsert_merge": _q(_upsert, "rollouts"),
     "insert_ignore": _q(_insert, "rollouts"),
     "cascade_delete": _q(_delete, "tree_instances", "nodes", "rollouts"),
@@ -143,6 +154,15 @@ ORACLES = {
     "session_commit": f"""WITH {_QU} SELECT 'nodes' AS table_name, instance_id || '|' || node_key AS key, (visits + 1) || '|' || CASE WHEN node_key <> 'root' THEN 1 ELSE in_pool END AS state FROM n JOIN (SELECT instance_id, node_key FROM best) USING (instance_id, node_key)
         UNION ALL SELECT 'rollouts', instance_id || '|' || node_key || '|' || rollout_idx, '1' FROM best
         UNION ALL SELECT 'tree_instances', instance_id, (n_rounds + 1)::VARCHAR FROM tree_instances WHERE instance_id IN (SELECT instance_id FROM best WHERE node_key <> 'root')""",
+    "resumed_pool": f"""WITH {_B}, live AS (SELECT DISTINCT instance_id FROM tree_instances WHERE status NOT IN ('done', 'failed')),
+        u AS (SELECT instance_id, node_key, coalesce(avg(correct::DOUBLE), 0) AS mc, count(correct) AS n_valid, count(*) FILTER (is_consumed = 1) AS n_consumed, count(*) FILTER (is_consumed = 0 AND exit_status IS NOT NULL) AS n_open FROM r GROUP BY ALL)
+        SELECT instance_id, node_key, round(mc, 6) AS mc, coalesce(n_valid, 0) AS n_valid, visits, coalesce(n_consumed, 0) AS n_consumed, coalesce(n_open, 0) AS n_open
+        FROM n JOIN live USING (instance_id) LEFT JOIN u USING (instance_id, node_key) WHERE node_key = 'root' OR in_pool = 1""",
+    "tree_statuses": f"""WITH {_QU}, ro AS (SELECT instance_id, coalesce(avg(correct::DOUBLE), 0) AS root_mc, count(correct) AS v FROM r WHERE node_key = 'root' GROUP BY 1),
+        t AS (SELECT instance_id, status AS old, n_rounds FROM tree_instances),
+        w AS (SELECT DISTINCT qu.instance_id FROM qu JOIN t USING (instance_id) WHERE n_rounds < 20 OR node_key = 'root')
+        SELECT t.instance_id, CASE WHEN old IN ('done', 'failed') THEN old WHEN coalesce(v, 0) = 0 THEN 'failed' WHEN w.instance_id IS NOT NULL THEN 'budget_exhausted' ELSE 'done' END AS status,
+            round(CASE WHEN coalesce(v, 0) > 0 THEN root_mc END, 6) AS root_mc FROM t LEFT JOIN ro USING (instance_id) LEFT JOIN w ON w.instance_id = t.instance_id""",
     "upsert_merge": f"""WITH {_HALF} SELECT instance_id, node_key, rollout_idx, coalesce(old.is_consumed, new.is_consumed) AS is_consumed, round(CASE WHEN new.instance_id IS NOT NULL THEN new.reward ELSE old.reward END, 6) AS reward
         FROM old FULL JOIN new USING (instance_id, node_key, rollout_idx)""",
     "insert_ignore": f"""WITH {_HALF} SELECT instance_id, node_key, rollout_idx, is_consumed, false AS inserted FROM old UNION ALL

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,3 +58,21 @@ def concat_predictions(*parts: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+def write_trace(spans: dict, path: str) -> str:
+    """A trace as JSON, its folder made where it isn't there."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(json.dumps(spans, ensure_ascii=False, indent=2, default=str))
+    return str(target)
+
+
+def remembered(folder: str, fingerprint: str, make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The table that ``make`` gives, kept under the fingerprint of what it was made from and read from there the next time."""
+    path = f"{folder}/{fingerprint}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)

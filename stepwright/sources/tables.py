@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from pathlib import Path
@@ -54,6 +55,18 @@ def merged(base: dict[str, Any], over: dict[str, Any] | None) -> dict[str, Any]:
     return out
 
 
+def read_config(path: str, base: dict[str, Any] | None = None) -> dict[str, Any]:
+    """A configuration file, JSON or (where a reader is installed) YAML, over ``base``; a missing file changes nothing."""
+    file = Path(path)
+    if not file.exists():
+        return dict(base or {})
+    if file.suffix == ".json":
+        return merged(base or {}, json.loads(file.read_text()))
+    import yaml
+
+    return merged(base or {}, yaml.safe_load(file.read_text()))
+
+
 def parse_env(text: str) -> dict[str, str]:
     """NAME=value lines: export, blank lines and comments are allowed, quotes are taken off, a comment after a bare value too."""
     out = {}

@@ -77,3 +77,19 @@ def test_reports_and_predictions(spark, tmp_path):
         sinks.write_report(spark.range(5), str(tmp_path / "big"), "x", most_rows=3)
     both = sinks.concat_predictions(df, df.withColumn("truncated", F.lit(True)))
     assert both.count() == 4 and both.filter("truncated IS NULL").count() == 2
+
+
+def test_configuration_traces_and_remembered_tables(spark, tmp_path):
+    from stepwright import sinks
+    from stepwright.sources import tables
+
+    (tmp_path / "c.json").write_text('{"a": {"b": 2, "c": null}, "d": 1}')
+    assert tables.read_config(str(tmp_path / "c.json"), {"a": {"b": 1, "c": 3}}) == {"a": {"b": 2, "c": 3}, "d": 1}
+    assert tables.read_config(str(tmp_path / "none.json"), {"a": 1}) == {"a": 1}
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump({"a": {"b": 5}}))
+    assert tables.read_config(str(tmp_path / "c.yaml"), {"a": {"c": 3}}) == {"a": {"b": 5, "c": 3}}
+    assert json.loads(open(sinks.write_trace({"spans": [1]}, str(tmp_path / "x" / "y" / "t.json"))).read()) == {"spans": [1]}
+    made = []
+    table = lambda key: sinks.remembered(str(tmp_path / "kept"), key, lambda: made.append(key) or spark.range(3), spark).count()
+    assert (table("k1"), table("k1"), table("k2"), made) == (3, 3, 3, ["k1", "k2"])

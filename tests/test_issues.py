@@ -42,7 +42,7 @@ def test_repositories_and_ranks(spark):
     got = [tuple(r) for r in spark.createDataFrame(rows, "repo string").select(*R.parse_repo("repo")).collect()]
     assert got == [("mirror", "own__x", "2b8635b7"), ("plain", "name", None), ("a", "b", None), ("", "nothing", None), ("a", "b/c", "DEADBEEF")]
     values = spark.createDataFrame([(v,) for v in [5, 1, 9, 7]], "v bigint")
-    assert tuple(R.nearest_rank(values, "v", {"p50": 0.5, "p95": 0.95}).first()) == (1, 7, 9, 9)
+    assert tuple(R.nearest_rank(values, "v", {"p50": 0.5, "p95": 0.95}).first())[:4] == (1, 7, 9, 9)
 
 
 @pytest.mark.parametrize("n,pool,sizes", [(20, 12, None), (50, 30, (24, 3, 3)), (10, 6, None), (1, 1, (1, 0, 0)), (0, 0, (0, 0, 0))])

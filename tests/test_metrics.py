@@ -86,3 +86,24 @@ def test_paired_intervals_truncated_buckets_and_keys(spark):
     got = {r.node_key: r.skip_reason for r in MC.eligibility(nodes, mc, D.n_steps(), D.key_matches()).collect()}
     assert got == {key: None, "n_0": "key_mismatch", "root": "empty_prefix", "n_1": "empty_prefix"}
     assert {"truncated_buckets", "dev_brier"} <= set(evaluation.QUERIES)
+
+
+def test_spearman_with_most_rows_on_one_value(spark):
+    import numpy as np
+    import pandas as pd
+
+    rnd = np.random.default_rng(5)
+    x = np.where(rnd.random(3000) < 0.6, 1.0, rnd.integers(0, 9, 3000))
+    y = np.where(rnd.random(3000) < 0.5, 2.0, rnd.integers(0, 5, 3000) + x)
+    df = spark.createDataFrame(pd.DataFrame({"k": range(3000), "x": x, "y": y}))
+    want = np.corrcoef(pd.Series(x).rank(), pd.Series(y).rank())[0, 1]
+    got = M.spearman(df, "k", "x", "y").first()
+    assert abs(got.spearman - want) < 1e-6 and got.n == 3000
+    assert M.spearman(df.withColumn("y", F.lit(1.0)), "k", "x", "y").first().spearman is None and M.spearman(df.limit(0), "k", "x", "y").first().n == 0
+
+
+def test_an_interval_of_the_auc(spark):
+    df = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("y"), ((F.hash("id") % 50) / 50.0 + F.col("id") % 2 * 0.3).alias("s"))
+    auc = M.roc_auc(df, "y", "s").first().auc
+    got = M.bootstrap_metric(df, "id", ["y", "s"], lambda rows, w, by: M.roc_auc(rows, "y", "s", by, w), "auc", n_boot=60).first()
+    assert got.n_boot == 60 and got.low < auc < got.high and got.high - got.low < 0.2

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepwright.operators import reward as R
+from stepwright.operators.rules import gold_struct
 
 LOC = "array<struct<file:string,class_name:string,function_name:string>>"
 
@@ -72,3 +73,29 @@ def test_names_of_a_patch(spark):
     assert got["k"].files == ["old.py", "x.py"]
     assert got["k"].modules == ["x.py:A", "x.py:B", "x.py:outer", "x.py:top"] and got["k"].entities == ["x.py:A.m", "x.py:B.n", "x.py:outer", "x.py:top"]
     assert all(got[k].files == [] and got[k].entities == [] for k in ("none", "text"))
+
+
+def test_a_long_line_and_a_class_of_a_hunk(spark):
+    patch = "\n".join(["--- a/x.py", "+++ b/x.py", "@@ -1 +1 @@ class A:", "+" + " " * 2_000_000 + "def deep(", "@@ -9 +9 @@", " def free(self):", "+class B(A):", "+    async def own(self):", "--- a/old.py", "+++ /dev/null", "-def gone():"])
+    r = spark.createDataFrame([(1, patch), (2, None), (3, "")], "k int, patch string")
+    got = {x.k: x for x in R.diff_names(r, ["k"], "patch").collect()}
+    assert got[1].files == ["old.py", "x.py"] and got[1].modules == ["x.py:A", "x.py:B", "x.py:free"]
+    assert got[1].entities == ["x.py:A.deep", "x.py:B.gone", "x.py:B.own", "x.py:free"]
+    assert got[2].files == got[3].files == got[2].entities == []
+
+
+def test_either_way_of_scoring(spark):
+    gold = json.dumps({"files": ["a.py"], "modules": ["a.py:A"], "entities": ["a.py:A.f"]})
+    right = json.dumps([{"file": "a.py", "class_name": "A", "function_name": "f"}])
+    df = spark.createDataFrame([(1, "Submitted", right, gold), (2, "Submitted", "no", gold), (3, "Timeout", right, gold), (4, None, None, gold)], "k int, status string, said string, gold string")
+    for mode in ("layered", "independent"):
+        got = {r.k: (r.reward, r.reason, r.correct) for r in R.unified_reward(df, "status", "said", gold_struct("gold"), mode).collect()}
+        assert got == {1: (1.0, None, True), 2: (0.0, "invalid_submission", False), 3: (0.0, "not_submitted", False), 4: (0.0, "not_submitted", False)}
+    with pytest.raises(ValueError):
+        R.unified_reward(df, "status", "said", gold_struct("gold"), "other")
+
+
+def test_gold_that_is_no_list(spark):
+    texts = ['{"files": "a.py", "modules": "[\\"m\\", \\"k\\"]", "entities": null}', '{"files": ["b", "a", "b"]}', None, "{", '{"files": 3}']
+    got = [tuple(r.g) for r in spark.createDataFrame([(t,) for t in texts], "gold string").select(gold_struct("gold").alias("g")).collect()]
+    assert got == [(["a.py"], ["k", "m"], []), (["a", "b"], [], []), ([], [], []), ([], [], []), (["3"], [], [])]

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from stepwright.operators import scoring as Q
+from stepwright.operators import steps as S
 from stepwright.operators import store as K
 
 
@@ -48,3 +50,22 @@ def test_light_trajectories_hold_every_message(spark):
         assert sorted(tuple(r)[1:] for r in rows if r.k == k) == [w + (None,) * (11 - len(w)) for w in want]
     assert {r.k for r in rows} == {1, 2} and rows[0].__fields__[3:] == [*Q.LIGHT_TOP, *Q.LIGHT_EXTRA]
     assert set(Q.light_message()) == {*Q.LIGHT_TOP, *Q.LIGHT_EXTRA, "interrupt_type"}
+
+
+def test_long_rollouts_count_by_their_first_prefixes(spark):
+    rows = [("a", "root", k, n) for k, n in enumerate([40, 3, 0, 33, 1, 2, 9])] + [("b", "root", 0, 32), ("b", "n_x", 1, 5)]
+    df = spark.createDataFrame(rows, "instance_id string, node_key string, rollout_idx int, n_steps int")
+    key = ["instance_id", "node_key", "rollout_idx"]
+    frame = Q.trajectory_frame(df, key, lambda p: p.withColumn("p", F.when(F.col("t") % 7 != 5, F.col("t") / 100.0)))
+    got = {(r.instance_id, r.rollout_idx): r for r in frame.collect()}
+    assert set(got) == {("a", 0), ("a", 1), ("a", 3), ("a", 4), ("b", 0)}  # five candidates, one without steps
+    want = [t / 100 for t in range(32) if t % 7 != 5]
+    assert got["a", 0].scores == got["a", 3].scores == got["b", 0].scores == want and got["a", 0].n_scores == len(want) and got["a", 0].agg_last == 0.31
+    assert got["a", 1].scores == [0, 0.01, 0.02]
+
+
+def test_the_last_exit_message(spark):
+    kind = "array<struct<role:string,content:string,extra:struct<exit_status:string,submission:string>>>"
+    rows = [[("exit", "", ("a", "b")), ("user", "x", None), ("exit", "", ("Submitted", None))], [("user", "x", None)], [("exit", "", None)], []]
+    df = spark.createDataFrame([(r,) for r in rows], f"m {kind}")
+    assert [tuple(r.e) for r in df.select(S.exit_pair("m").alias("e")).collect()] == [("Submitted", ""), ("", ""), ("", ""), ("", "")]
