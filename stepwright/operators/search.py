@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from stepwright.operators import mc as M
 from stepwright.operators import store as K
 from stepwright.operators.ordered import hex_bucket, sums_before
-from stepwright.session import cut_lineage
+from stepwright.session import written
 
 ALPHA, BETA, MAX_LENGTH, EXPLORATION = 0.5, 0.9, 6, 0.125
 
@@ -112,7 +112,7 @@ def bisect(sessions: DataFrame, rates: DataFrame) -> DataFrame:
     """
     state, found = start_bisection(sessions), []
     while True:
-        asked = cut_lineage(probes(state).join(rates, ["session", "probe"]))
+        asked = written(probes(state).join(rates, ["session", "probe"]))
         if asked.isEmpty():
             break
         events, state = advance(asked)
@@ -148,10 +148,10 @@ def annotate(trees: DataFrame, nodes: DataFrame, rollouts: DataFrame, expand: Ca
     turn = 0
     while most_sessions is None or turn < most_sessions:
         turn += 1
-        picked = cut_lineage(qu_select(_selectable(trees, nodes, rollouts, max_rounds)))
+        picked = written(qu_select(_selectable(trees, nodes, rollouts, max_rounds)))
         if picked.isEmpty():
             break
-        nodes, rollouts, trees = (cut_lineage(df) for df in consume(nodes, rollouts, trees, picked, expand(picked)))
+        nodes, rollouts, trees = (written(df) for df in consume(nodes, rollouts, trees, picked, expand(picked)))
     return trees, nodes, rollouts
 
 
@@ -196,11 +196,11 @@ def pipeline(trees: DataFrame, nodes: DataFrame, rollouts: DataFrame, execute: C
     allowed = allocate(wanted.groupBy(*M.KEYS).agg(F.count(F.lit(1)).alias("n")), ["node_key"], budget)
     place = F.row_number().over(Window.partitionBy(*M.KEYS).orderBy("rollout_idx"))  # n_slots at most
     tasks = wanted.withColumn("_at", place).join(allowed, M.KEYS).filter("_at <= allowed").select(*M.KEYS, "rollout_idx")
-    rollouts = cut_lineage(K.upsert(rollouts, execute(cut_lineage(tasks))))
+    rollouts = written(K.upsert(rollouts, execute(written(tasks))))
     nodes = nodes.drop("mc_score").join(M.mc_valid(rollouts).select(*M.KEYS, F.col("mc").alias("mc_score")), M.KEYS, "left").select(*nodes.columns)
-    trees = cut_lineage(statuses(trees, nodes, rollouts, True, max_rounds))
-    done, nodes, rollouts = annotate(trees, cut_lineage(nodes), rollouts, expand, max_rounds, most_sessions)
-    return cut_lineage(statuses(done, nodes, rollouts, False, max_rounds)), nodes, rollouts
+    trees = written(statuses(trees, nodes, rollouts, True, max_rounds))
+    done, nodes, rollouts = annotate(trees, written(nodes), rollouts, expand, max_rounds, most_sessions)
+    return written(statuses(done, nodes, rollouts, False, max_rounds)), nodes, rollouts
 
 
 def tree_transition(root_mc: Column, valid_root: Column, open_work: Column, budget_left: Column) -> Column:

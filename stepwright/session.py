@@ -81,7 +81,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it from there."""
+    """Write ``df`` to the shared folder and read it from there.
+
+    What the planner knows of the columns stays with them, so a loop that puts its own result in again and again takes ``written``.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -98,12 +98,40 @@ def test_choice_of_candidates(spark):
 
 
 def test_long_rollouts_count_by_their_first_steps(spark):
-    from stepwright.plans import contracts, tree_search
+    from stepwright.plans import contracts
 
-    columns = "instance_id string, node_key string, rollout_idx int, is_consumed int, n_steps int, correct int, reward double, exit_status string"
-    rows = [("a", "root", i, 0, n, i % 2, i / 4, "Submitted") for i, n in enumerate((3, 32, 33, 90, 0))]
+    columns = "instance_id string, node_key string, rollout_idx int, is_consumed int, n_steps int, correct int, reward double, exit_status string, submitted int"
+    rows = [("a", "root", i, 0, n, i % 2, i / 4, "Submitted", 1) for i, n in enumerate((3, 32, 33, 90, 0))]
     r = spark.createDataFrame(rows, columns)
     assert contracts._trajectory(r).first().n == 4
-    same = lambda d: sorted((x.rollout_idx, x.n_scores, x.agg_mean, x.agg_last) for x in d.filter("n_scores IS NOT NULL").collect())
     short = spark.createDataFrame([(*x[:4], min(x[4], 32), *x[5:]) for x in rows], columns)
-    assert same(tree_search._root_candidates(r, 32)) == same(tree_search._root_candidates(short))
+    same = lambda d: sorted((x.rollout_idx, x.scored_steps, x.agg_mean, x.agg_last, x.scores) for x in contracts._frame_rows(d).collect())
+    assert same(r) == same(short)
+
+
+def scripted(tasks):
+    """Rollouts of the missing slots; those of tree x never have an outcome."""
+    right = (F.abs(F.hash("instance_id", "rollout_idx")) % 2).cast("int")
+    return tasks.filter("instance_id <> 'x'").select("instance_id", "node_key", "rollout_idx", F.lit(0).alias("is_consumed"), F.lit(None).cast("int").alias("consumed_iteration"), F.lit(2).alias("n_steps"), right.alias("correct"), right.cast("double").alias("reward"), F.lit("Submitted").alias("exit_status"))
+
+
+def pipeline_state(spark):
+    trees = spark.createDataFrame([(t, "not_started" if t != "d" else "done", 0) for t in ("a", "b", "c", "x", "d")], "instance_id string, status string, n_rounds int")
+    nodes = spark.createDataFrame([(t, "root", None, 0, 0) for t in ("a", "b", "c", "x", "d")], NODE)
+    return trees, nodes, spark.createDataFrame([], ROLL)
+
+
+def test_a_pipeline_that_is_stopped_goes_on_to_the_same_end(spark):
+    run = lambda state, **limits: G.pipeline(*state, execute=scripted, expand=lambda picked: picked.select("instance_id", "node_key"), n_slots=4, **limits)
+    end = run(pipeline_state(spark))
+    names = {r.instance_id: r.status for r in end[0].collect()}
+    assert names == {"a": "done", "b": "done", "c": "done", "x": "failed", "d": "done"}
+    consumed = {(r.instance_id, r.rollout_idx) for r in end[2].filter("is_consumed = 1").collect()}
+    assert consumed and end[2].filter("instance_id = 'd'").count() == 0
+    trees, nodes, rollouts = run(pipeline_state(spark), most_sessions=1)
+    assert {r.instance_id: r.status for r in trees.collect()} == names | {"a": "budget_exhausted", "c": "budget_exhausted"}
+    again = run((trees.select("instance_id", "status", "n_rounds"), nodes, rollouts))
+    assert {r.instance_id: r.status for r in again[0].collect()} == names
+    assert {(r.instance_id, r.rollout_idx) for r in again[2].filter("is_consumed = 1").collect()} == consumed
+    pool = {(r.instance_id, r.n_consumed + r.n_open) for r in G.resumed(pipeline_state(spark)[0], end[1], end[2]).collect()}
+    assert pool == {("a", 4), ("b", 4), ("c", 4), ("x", 0)}
