@@ -81,6 +81,7 @@ def _oracles():
     clip = f"""CASE WHEN m.role = 'tool' AND length(m.content) > {KEEP} THEN CASE WHEN json_valid(m.content) AND json_type({j}) = 'OBJECT'
         THEN '{{"returncode": ' || coalesce(json_extract_string({j}, '$.returncode'), 'null') || ', "output": ' || to_json(left(coalesce(json_extract_string({j}, '$.output'), ''), {KEEP}) || '{MARK}')::VARCHAR || '}}'
         ELSE left(m.content, {KEEP}) || '{MARK}' END ELSE coalesce(m.content, '') END"""
+    extra_keys = ("actions", "raw_output", "returncode", "exit_status", "submission", "exception_info")
     return {
         "build_samples": f"""WITH sa AS ({samples}), {latest}, {steps}, tx AS (SELECT instance_id, node_key, k, count(*) AS c, string_agg({line}, chr(10) ORDER BY pl) AS t FROM ms WHERE json_extract_string(m, '$.role') IN ('assistant', 'tool', 'user') GROUP BY ALL),
             hd AS (SELECT instance_id, max(h) AS h FROM (SELECT instance_id, list_last(list_transform(list_filter(json_extract(messages_head_json, '$[*]'), lambda x: json_extract_string(x, '$.role') = 'user'), lambda x: json_extract_string(x, '$.content'))) AS h FROM tree_instances WHERE json_valid(messages_head_json)) GROUP BY 1),
@@ -90,6 +91,9 @@ def _oracles():
         "prefix_round_trip": f"""WITH px0 AS (SELECT instance_id, node_key, row_number() OVER () AS id, {plain} AS j FROM nodes), px AS (SELECT instance_id, node_key || chr(0) || id AS node_key, id, j FROM px0 WHERE json_valid(j) AND json_type(CASE WHEN json_valid(j) THEN j END) = 'ARRAY'), {steps},
             a AS (SELECT node_key, count(*) AS n, md5(string_agg(coalesce(json_extract_string(m, '$.role'), '') || '|' || coalesce(json_extract_string(m, '$.content'), ''), chr(10) ORDER BY k, pl)) AS digest FROM ms GROUP BY 1)
             SELECT px.instance_id, string_split(px.node_key, chr(0))[1] AS node_key, json_array_length(j)::BIGINT AS n_steps, coalesce(a.n, 0) AS n_messages, coalesce(digest, md5('')) AS digest, true AS same FROM px LEFT JOIN a USING (node_key)""",
+        "light_trajectory": f"""WITH px0 AS (SELECT instance_id, node_key, row_number() OVER () AS id, {plain} AS j FROM nodes), px AS (SELECT instance_id, node_key || chr(0) || id AS node_key, j FROM px0 WHERE json_valid(j) AND json_type(CASE WHEN json_valid(j) THEN j END) = 'ARRAY'), {steps}
+            SELECT instance_id, string_split(node_key, chr(0))[1] AS node_key, k::INT AS step_index, pl::INT AS message_index, json_extract_string(m, '$.role') AS role, json_extract_string(m, '$.content') AS content, json_extract_string(m, '$.tool_call_id') AS tool_call_id,
+                {', '.join(f"json_extract_string(m, '$.extra.{c}') AS {c}" for c in extra_keys)} FROM ms WHERE m IS NOT NULL AND json_type(m) <> 'NULL'""",
         "truncated_messages": f"""WITH a AS (SELECT row_id, m, row_number() OVER (PARTITION BY row_id ORDER BY pos) AS pl FROM ({_M}) WHERE m.role IN ('assistant', 'tool', 'user')), b AS (SELECT *, length({one}) + 1 AS n FROM a),
             c AS (SELECT *, sum(n) OVER (PARTITION BY row_id) AS total, sum(n) OVER (PARTITION BY row_id ORDER BY pl DESC) AS rest, min(CASE WHEN m.role = 'assistant' THEN pl END) OVER (PARTITION BY row_id) AS f,
                 max(CASE WHEN m.role = 'assistant' THEN pl END) OVER (PARTITION BY row_id) AS l FROM b),

@@ -18,13 +18,6 @@ def _q(function, *tables):
     return lambda spark, sf: function(*[table(spark, sf, t) for t in tables])
 
 
-def _light(n):
-    """First answers of the readable prefixes, as they are kept."""
-    first = n.filter(F.try_parse_json("prefix_json").isNotNull()).select("instance_id", "node_key", F.get_json_object("prefix_json", "$[0].tail[0]").alias("message")).filter("message IS NOT NULL")
-    parts = Q.light_message("message")
-    return first.select("instance_id", "node_key", parts["role"].alias("role"), parts["tool_call_id"].alias("tool_call_id"), parts["interrupt_type"].alias("interrupt_type"), F.md5(parts["content"]).alias("content"))
-
-
 def _heads(t, r):
     """Heads come from results where those have one, else from the tree."""
     return G.resolve_head(t, r, F.get_json_object("result_json", "$.messages_head")).select("instance_id", F.md5("head").alias("head"))
@@ -85,7 +78,6 @@ def _verdicts(d):
 
 
 QUERIES = {
-    "light_projection": _q(_light, "nodes"),
     "light_trajectory": _q(lambda n: Q.light_trajectory(n, ["instance_id", "node_key"], "prefix_json"), "nodes"),
     "resolved_heads": _q(_heads, "tree_instances", "rollouts"),
     "failure_map": _q(_failures, "rollouts"),
@@ -127,10 +119,8 @@ def _oracles():
 
     u = "('0x' || substr(md5('42:' || instance_id || ':' || node_key || ':' || slot), {}, 4))::INT / 65536.0::DOUBLE"
     return {
-        "light_projection": """WITH a AS (SELECT instance_id, node_key, CASE WHEN json_valid(prefix_json) THEN prefix_json END AS j FROM nodes), b AS (SELECT instance_id, node_key, json_extract(j, '$[0].tail[0]') AS m FROM a)
-            SELECT instance_id, node_key, json_extract_string(m, '$.role') AS role, json_extract_string(m, '$.tool_call_id') AS tool_call_id, json_extract_string(m, '$.extra.interrupt_type') AS interrupt_type,
-                md5(json_extract_string(m, '$.content')) AS content FROM b WHERE m IS NOT NULL""",
-        "resolved_heads": "SELECT instance_id, md5(messages_head_json) AS head FROM tree_instances",
+        "resolved_heads": """WITH h AS (SELECT instance_id, first(x ORDER BY rollout_idx, x) AS x FROM (SELECT instance_id, rollout_idx, json_extract_string(CASE WHEN json_valid(result_json) THEN result_json END, '$.messages_head') AS x FROM rollouts)
+            WHERE x IS NOT NULL GROUP BY 1) SELECT t.instance_id, md5(coalesce(h.x, messages_head_json)) AS head FROM tree_instances t LEFT JOIN h USING (instance_id)""",
         "failure_map": """WITH c AS (SELECT instance_id, coalesce(exit_status, 'none') AS s, count(*) AS n FROM rollouts GROUP BY ALL)
             SELECT instance_id, (coalesce(sum(n) FILTER (s = 'Submitted'), 0))::BIGINT AS n_ok, (coalesce(sum(n) FILTER (s <> 'Submitted'), 0))::BIGINT AS n_failed, coalesce(string_agg(s || '=' || n, ',' ORDER BY s || '=' || n) FILTER (s <> 'Submitted'), '') AS failures FROM c GROUP BY 1""",
         "scripted_rollouts": f"""WITH {_MISSING}, x AS (SELECT instance_id, node_key, slot::INT AS rollout_idx, {u.format(1)} AS f, ({u.format(5)} < 0.5)::INT AS correct, (floor({u.format(9)} * 6) + 1)::INT AS n_steps FROM m)

@@ -106,3 +106,13 @@ ORACLES = {
         w AS (SELECT b, s, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119))} AS w FROM r),
         m AS (SELECT b, sum(w * s) / sum(w) AS mean FROM w GROUP BY 1) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS n_boot FROM m""",
 }
+
+
+def _truncated_sql() -> str:
+    plan = texts.ORACLES["trunc_plan"]
+    bucket = _bucket("CASE WHEN cut THEN 'truncated' ELSE 'not_truncated' END").replace("FROM d)", "FROM (SELECT d.*, coalesce(o.outcome <> 'fits', false) AS cut FROM d LEFT JOIN pl o USING (row_id)))", 1)
+    return f"""WITH pl AS ({plan}), z AS ({bucket}) SELECT *, (SELECT round(max(auc) FILTER (bucket = 'truncated') - max(auc) FILTER (bucket = 'not_truncated'), 6) FROM z) AS auc_gap_truncated_minus_clean FROM z"""
+
+
+ORACLES["dev_brier"] = f"WITH {_D} SELECT round(avg(pow(1 / (1 + exp(-(s * 4 - 2))) - y, 2)), 6) AS brier FROM d WHERE split = 'dev'"
+ORACLES["truncated_buckets"] = _truncated_sql()

@@ -33,8 +33,9 @@ def _plan(b):
     return out.select("row_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_steps", "total", "floor", "n_drop")], "outcome")
 
 
-def _first_tool(b):
-    return b.select("row_id", F.get(F.filter("messages", lambda m: m["role"] == "tool"), F.lit(0))["content"].alias("content")).filter("content IS NOT NULL")
+def _tools(b):
+    """The contents of all tool messages."""
+    return b.select("row_id", F.posexplode("messages").alias("pos", "m")).filter("m.role = 'tool'").select("row_id", "pos", F.col("m.content").alias("content")).filter("content IS NOT NULL")
 
 
 def _commands(b):
@@ -47,15 +48,14 @@ def _policy(b):
 
 
 def _clip(b):
-    tools = _first_tool(b)
-    return tools.select("row_id", F.length(T.head_tail("content", 60)).cast("bigint").alias("n"), F.md5(T.head_tail("content", 60)).alias("digest"))
+    return _tools(b).select("row_id", "pos", F.length(T.head_tail("content", 60)).cast("bigint").alias("n"), F.md5(T.head_tail("content", 60)).alias("digest"))
 
 
 QUERIES = {
     "trunc_plan": _q(_plan),
     "trunc_outcomes": _q(lambda b: _plan(b).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("n_drop").alias("n_drop"))),
     "oversize_candidates": _q(lambda b: T.oversize_candidates(b, "rendered_tokens", 1000).select("row_id", "rendered_tokens")),
-    "tool_clip": _q(lambda b: _first_tool(b).select("row_id", T.tool_clip("content", 40).alias("clipped"))),
+    "tool_clip": _q(lambda b: _tools(b).select("row_id", "pos", T.tool_clip("content", 40).alias("clipped"))),
     "head_tail_clip": _q(_clip),
     "command_forbidden": _q(lambda b: _commands(b).select("row_id", "call_id", H.forbidden_pattern("command").alias("forbidden"))),
     "command_policy": _q(_policy),
@@ -105,18 +105,18 @@ def _oracles():
             (CASE WHEN trajectory + head <= {LIMIT} THEN 0 ELSE coalesce(least, n_steps - 1) END)::BIGINT AS n_drop,
             CASE WHEN trajectory + head <= {LIMIT} THEN 'fits' WHEN head + {MARK_TOKENS} > {LIMIT} THEN 'unfittable' WHEN least IS NOT NULL THEN 'steps_dropped'
                  WHEN head + CASE WHEN n_steps > 1 THEN {MARK_TOKENS} ELSE 0 END + last_clip <= {LIMIT} THEN 'tools_clipped' ELSE 'unfittable' END AS outcome FROM x)"""
-    tool = f"f AS (SELECT row_id, min_by(m.content, pos) FILTER (m.role = 'tool') AS content FROM ({_M}) GROUP BY 1)"
+    tool = f"f AS (SELECT row_id, pos::INT AS pos, m.content AS content FROM ({_M}) WHERE m.role = 'tool')"
     safe = "left(regexp_replace(regexp_replace(replace(repo, '/', '__'), '[^A-Za-z0-9_.-]', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), 60)"
     return {
         "trunc_plan": f"WITH {plan} SELECT * FROM p",
         "trunc_outcomes": f"WITH {plan} SELECT outcome, count(*) AS n, sum(n_drop)::BIGINT AS n_drop FROM p GROUP BY 1",
         "oversize_candidates": "SELECT row_id, rendered_tokens FROM build_dataset WHERE rendered_tokens IS NULL OR rendered_tokens = 0 OR rendered_tokens > 1000",
-        "tool_clip": f"""WITH {tool} SELECT row_id, CASE WHEN json_valid(content) AND json_type(CASE WHEN json_valid(content) THEN content END) = 'OBJECT'
+        "tool_clip": f"""WITH {tool} SELECT row_id, pos, CASE WHEN json_valid(content) AND json_type(CASE WHEN json_valid(content) THEN content END) = 'OBJECT'
             THEN '{{"returncode": ' || coalesce(json_extract_string(CASE WHEN json_valid(content) THEN content END, '$.returncode'), 'null') || ', "output": '
                 || to_json(left(coalesce(json_extract_string(CASE WHEN json_valid(content) THEN content END, '$.output'), ''), 40) || '{T.MARK}')::VARCHAR || '}}'
             ELSE left(content, 40) || '{T.MARK}' END AS clipped FROM f WHERE content IS NOT NULL""",
-        "head_tail_clip": f"""WITH {tool}, h AS (SELECT row_id, CASE WHEN length(content) <= 60 THEN content ELSE left(content, 30) || chr(10) || '... [' || (length(content) - 60) || ' characters left out] ...' || chr(10) || right(content, 30) END AS t
-            FROM f WHERE content IS NOT NULL) SELECT row_id, length(t) AS n, md5(t) AS digest FROM h""",
+        "head_tail_clip": f"""WITH {tool}, h AS (SELECT row_id, pos, CASE WHEN length(content) <= 60 THEN content ELSE left(content, 30) || chr(10) || '... [' || (length(content) - 60) || ' characters left out] ...' || chr(10) || right(content, 30) END AS t
+            FROM f WHERE content IS NOT NULL) SELECT row_id, pos, length(t) AS n, md5(t) AS digest FROM h""",
         "command_forbidden": f"WITH {commands} SELECT row_id, call_id, regexp_matches(command, '(?i){_FORBIDDEN_SQL}') AS forbidden FROM c WHERE command IS NOT NULL",
         "command_policy": "WITH " + _policy_sql(commands),
         "safe_names": f"SELECT repo, coalesce(nullif({safe}, ''), 'repo') AS name FROM (SELECT DISTINCT repo FROM instances)",

@@ -178,3 +178,10 @@ ORACLES = {
         FROM se s JOIN se o ON o.instance_id = s.instance_id AND o.selector = 'oracle' JOIN se b ON b.instance_id = s.instance_id AND b.selector = 'random' GROUP BY 1""",
     "candidate_histogram": f"WITH {_B} SELECT n_candidates, count(*) AS n_keys FROM (SELECT count(*) AS n_candidates FROM r WHERE node_key = 'root' GROUP BY instance_id) GROUP BY 1",
 }
+
+_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+ORACLES["best_of_intervals"] = f"""WITH {_SCORES}, g AS (SELECT s.instance_id, s.selector, unnest([{{'measure': 'reward', 'gap': s.reward::DOUBLE - b.reward::DOUBLE}}, {{'measure': 'correct', 'gap': s.correct::DOUBLE - b.correct::DOUBLE}}]) AS x
+        FROM se s JOIN se b ON b.instance_id = s.instance_id AND b.selector = 'random' WHERE s.selector <> 'random'),
+    w AS (SELECT selector, x.measure AS measure, x.gap AS gap, b, ('0x' || left(md5('42:' || b || ':' || instance_id), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM g, range(1, 201) t(b) WHERE x.gap IS NOT NULL),
+    m AS (SELECT selector, measure, b, sum(k * gap) / sum(k) AS mean FROM (SELECT *, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in _CDF)} AS k FROM w) WHERE k > 0 GROUP BY ALL)
+    SELECT selector, measure, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS n_boot FROM m GROUP BY ALL"""
