@@ -17,6 +17,7 @@ sure one.  Furniture, and whatever else pages say, is learned from the pages tha
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
@@ -380,7 +381,7 @@ TEMPLATE_PAGES, TEMPLATE_SHARE, FILLER_TEXTS, FILLER_SHARE = 3, 0.6, 2, 0.5
 #: A weak sentence is aligned with others: some of its words are slots, PAGE_WORDS others stay; what is before it by
 #: up to PAGE_LEAD words may be furniture on the same line.
 PAGE_WORDS, PAGE_LEAD = 3, 8
-#: Longer sentences have no slots: they count as they are.
+#: Longer sentences have too many skeletons to make them all: those that others could share are made, see ``shared_skeletons``.
 MOST_SLOT_WORDS = 24
 _SLICE = 50_000
 
@@ -441,7 +442,10 @@ def inspected(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def skeletons_of(words: list[str]) -> Iterator[tuple[str, str]]:
-    """(skeleton, slots) of a sentence: as it is, with one or two words as a slot, and with another word as a second one."""
+    """(skeleton, slots) of a sentence: as it is, with one or two words as a slot, and with another word as a second one.
+
+    Of more than MOST_SLOT_WORDS words as it is only; ``shared_skeletons`` gives the others.
+    """
     yield " ".join(words), ""
     if len(words) > MOST_SLOT_WORDS:
         return
@@ -453,41 +457,142 @@ def skeletons_of(words: list[str]) -> Iterator[tuple[str, str]]:
                 yield " ".join(parts), " ".join(words[a:b] + words[c:d])
 
 
-def _aligned_sentences(records: DataFrame) -> DataFrame:
-    """(key, n, sure, skeleton, slots, lead) of the sentences of ``records`` (key, n, sure), and of what is left of them without
-    their first words; lead is the number of these."""
-    kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int32())
+_PRIME, _BASE = (1 << 127) - 1, 0x3B9F0C61D7A4E8255A1C96F3E07B4D83
+
+
+@lru_cache(maxsize=1 << 16)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=16).digest()) % _PRIME
+
+
+class Runs:
+    """Hashes of the runs of a sentence's words, each out of those of two beginnings, and of its skeletons."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.values = words, [_word_hash(w) for w in words]
+        self.heads, self.powers = [0], [1]
+        for v in self.values:
+            self.heads.append((self.heads[-1] * _BASE + v) % _PRIME)
+            self.powers.append(self.powers[-1] * _BASE % _PRIME)
+
+    def run(self, a: int, b: int) -> int:
+        return (self.heads[b] - self.heads[a] * self.powers[b - a]) % _PRIME
+
+    def skeleton(self, at: int, *slots: tuple[int, int]) -> str:
+        """What stands for the words from ``at`` on with a mark for each of ``slots``."""
+        told = 0
+        for a, b in slots:
+            told = ((told * self.powers[a - at] + self.run(at, a)) * _BASE + _word_hash("*")) % _PRIME
+            at = b
+        end = len(self.words)
+        return f"#{(told * self.powers[end - at] + self.run(at, end)) % _PRIME:x}"
+
+
+#: A place of a sentence: so many words from its start without its first ``lead`` ones (lead + 1), or from its end (0).
+_SIDES = PAGE_LEAD + 2
+#: The skeletons of longer sentences have two words less at least; those that have as many stand under their hash.
+_FEWEST_HASHED = MOST_SLOT_WORDS - 1
 
-    names = ["key", "n", "sure", "skeleton", "slots", "lead"]
 
+def places_of(runs: Runs) -> Iterator[tuple[int, int, int]]:
+    """(place, run of words up to there, next word) of a sentence, from its start, that without its first words, and its end."""
+    n = len(runs.words)
+    for lead in range(min(PAGE_LEAD, n - _FEWEST_HASHED) + 1):
+        for k in range(1, n - lead + 1):
+            yield k * _SIDES + lead + 1, runs.run(lead, lead + k) * 2, runs.values[lead + k] >> 64 if lead + k < n else -1
+    for k in range(1, n + 1):
+        yield k * _SIDES, runs.run(n - k, n) * 2 + 1, runs.values[n - k - 1] >> 64 if k < n else -1
+
+
+def shared_skeletons(runs: Runs, lead: int, places: list[int]) -> Iterator[tuple[str, str]]:
+    """Those of a sentence's (skeleton, slots) that matter: whatever sentences share a skeleton share one of these.
+
+    ``places`` are those at which sentences that are alike so far go on in different ways. Sentences that share a skeleton are alike
+    up to such a place f. Where the first slot begins before f - 1, it holds the same words in all of them and isn't needed, or one
+    word in some and two in others; then the words behind it repeat the same word up to f, so that it may as well begin at f - 1,
+    or they do up to the second slot, and it may as well have one word before that. The same holds for the second slot from the end.
+    """
+    words = runs.words[lead:]
+    n = len(words)
+    starts = {0} | {p // _SIDES for p in places if p % _SIDES == lead + 1}
+    ends = {0} | {p // _SIDES for p in places if p % _SIDES == 0}
+    begins, tails = ({k - less for k in of for less in (0, 1) if k >= less} for of in (starts, ends))
+
+    def spots() -> Iterator[tuple[int, int, int, int]]:
+        yield from ((a, a + u, n, n) for a in begins for u in (1, 2) if a + u <= n)
+        for u, v in ((1, 1), (1, 2), (2, 2)):
+            yield from ((a, a + u, n - e - v, n - e) for a in begins for e in tails if a + u < n - e - v)
+            for a in range(max(0, n - max(ends) - u - v - 1), min(max(starts), n - u - v - 1) + 1):
+                if not (a in begins and n - a - u - v - 1 in tails):
+                    yield a, a + u, a + u + 1, a + u + 1 + v
+
+    yield runs.skeleton(lead), ""
+    for a, b, c, d in spots():
+        slots = [(lead + a, lead + b), (lead + c, lead + d)][: 1 + (c < d)]
+        yield runs.skeleton(lead, *slots), " ".join(words[a:b] + words[c:d])
+
+
+def _rows(kinds: dict[str, pa.DataType], of):
+    """A function for mapInArrow that gives the rows (kinds) of ``of`` for each row, in slices."""
     def table(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for key, n, sure in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = key.split(" ")
-                for lead in range(min(PAGE_LEAD, len(words) - 1) + 1):
-                    rows += [(key, n, sure, skeleton, slots, lead) for skeleton, slots in skeletons_of(words[lead:])]
-                if len(rows) > _SLICE:
-                    yield table(rows)
-                    rows = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for own in of(*row):
+                    rows.append(own)
+                    if len(rows) >= _SLICE:
+                        yield table(rows)
+                        rows = []
             yield table(rows)
 
-    return records.select("key", "n", "sure").mapInArrow(run, "key string, n bigint, sure boolean, skeleton string, slots string, lead int")
+    return run
+
+
+def _branches(records: DataFrame) -> DataFrame:
+    """(id, places) of the sentences of ``records`` (id, key) for ``shared_skeletons``: where others that are alike so far go on in another way."""
+    def placed(id: bytes, key: str) -> Iterator[tuple]:
+        return ((id, place, run.to_bytes(16), word) for place, run, word in places_of(Runs(key.split(" "))))
+
+    kinds = {"id": pa.binary(), "place": pa.int64(), "run": pa.binary(), "word": pa.int64()}
+    long = records.filter(F.size(F.split("key", " ")) >= _FEWEST_HASHED).select("id", "key")
+    places = written(long.mapInArrow(_rows(kinds, placed), "id binary, place bigint, run binary, word bigint"))
+    parted = places.groupBy("run").agg(F.min("word").alias("least"), F.max("word").alias("most")).filter("least <> most").select("run")
+    return places.join(parted.hint("merge"), "run", "left_semi").groupBy("id").agg(F.collect_list("place").alias("places"))
+
+
+def _aligned_sentences(records: DataFrame) -> DataFrame:
+    """(id, n, sure, skeleton, slots, lead) of the sentences of ``records`` (id, key, n, sure), and of what is left of them without
+    their first words; lead is the number of these."""
+    def lined(id: bytes, key: str, n: int, sure: bool, places: list[int] | None) -> Iterator[tuple]:
+        words = key.split(" ")
+        runs = Runs(words) if len(words) > MOST_SLOT_WORDS else None
+        for lead in range(min(PAGE_LEAD, len(words) - 1) + 1):
+            if len(words) - lead > MOST_SLOT_WORDS:
+                yield from ((id, n, sure, skeleton, slots, lead) for skeleton, slots in shared_skeletons(runs, lead, places or []))
+                continue
+            for skeleton, slots in skeletons_of(words[lead:]):
+                yield id, n, sure, skeleton if skeleton.count(" ") + 1 < _FEWEST_HASHED else Runs(skeleton.split(" ")).skeleton(0), slots, lead
+
+    kinds = {"id": pa.binary(), "n": pa.int64(), "sure": pa.bool_(), "skeleton": pa.string(), "slots": pa.string(), "lead": pa.int32()}
+    told = records.join(_branches(records).hint("merge"), "id", "left").select("id", "key", "n", "sure", "places")
+    return told.mapInArrow(_rows(kinds, lined), "id binary, n bigint, sure boolean, skeleton string, slots string, lead int")
 
 
 def repeated_sentences(said: DataFrame) -> DataFrame:
     """The keys of ``said`` (doc_id, key, kind), weak or sure sentences, that the texts have over and over: in SLOT_RECORDS with other
     words in their slots, or as they are in SLOT_SAME or as a sure one, by themselves or behind furniture."""
     records = said.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("kind") == "sure").alias("sure"))
+    records = written(records.withColumn("id", F.unhex(F.md5("key"))))
     lined = written(_aligned_sentences(records))
     # the records of one key have the same words in its slots, those of others don't
     whole = lined.filter("lead = 0").groupBy("skeleton").agg(F.sum("n").alias("n"), F.countDistinct("slots").alias("values"), F.bool_or(F.col("sure") & (F.col("slots") == "")).alias("sure"))
     known = whole.filter("sure OR " + f"n >= {SLOT_RECORDS} AND (values >= {SLOT_VALUES} OR n >= {SLOT_SAME})").select("skeleton")
-    return lined.join(known.hint("merge"), "skeleton", "left_semi").select("key").distinct()  # both grow with the corpus
+    repeated = lined.join(known.hint("merge"), "skeleton", "left_semi").select("id").distinct()  # both grow with the corpus
+    return records.join(repeated.hint("merge"), "id", "left_semi").select("key")
 
 
 def pages(seen: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -502,7 +607,7 @@ def pages(seen: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     own = said.filter("kind = ''").join(counts.filter(F.col("n") < TEMPLATE_PAGES), "key", "left_semi").select(doc_id).distinct()
     said = written(said.join(own, doc_id, "left_anti"))
     telling = said.filter("kind <> ''")
-    repeated = repeated_sentences(telling)
+    repeated = written(repeated_sentences(telling))
     shown = telling.join(repeated, "key", "left_semi").select(doc_id).unionByName(telling.filter("kind = 'sure'").select(doc_id)).distinct().withColumn("shown", F.lit(True))
     marked = said.join(shown, doc_id, "left")
     # sentences that say nothing of a page, nearly always beside some that do: furniture and the like
