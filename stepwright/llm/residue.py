@@ -510,7 +510,7 @@ def shared_skeletons(runs: Runs, lead: int, places: list[int]) -> Iterator[tuple
     ``places`` are those at which sentences that are alike so far go on in different ways. Sentences that share a skeleton are alike
     up to such a place f. Where the first slot begins before f - 1, it holds the same words in all of them and isn't needed, or one
     word in some and two in others; then the words behind it repeat the same word up to f, so that it may as well begin at f - 1,
-    or they do up to the second slot, and it may as well have one word before that. The same holds for the second slot from the end.
+    or they do up to the second slot, and it may as well have one word before that, at f - 1 or one that is repeated. The same holds for the second slot from the end.
     """
     words = runs.words[lead:]
     n = len(words)
@@ -523,7 +523,7 @@ def shared_skeletons(runs: Runs, lead: int, places: list[int]) -> Iterator[tuple
         for u, v in ((1, 1), (1, 2), (2, 2)):
             yield from ((a, a + u, n - e - v, n - e) for a in begins for e in tails if a + u < n - e - v)
             for a in range(max(0, n - max(ends) - u - v - 1), min(max(starts), n - u - v - 1) + 1):
-                if not (a in begins and n - a - u - v - 1 in tails):
+                if (a in begins or a + 2 in starts or words[a + 1] == words[a + 2]) and not (a in begins and n - a - u - v - 1 in tails):
                     yield a, a + u, a + u + 1, a + u + 1 + v
 
     yield runs.skeleton(lead), ""
